@@ -36,7 +36,7 @@ def poisson_count(u: Column, rate: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, source: str = "source") -> DataFrame:
     """source, rate: the mean repetitions. Counts are combined before the shuffle."""
-    sizes = docs.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
+    sizes = docs.select(F.col(source).alias("__s")).groupBy("__s").agg(F.count("*").alias("__n"))
     if weights is None:
         want = F.pow(F.col("__n"), F.lit(TEMPERATURE))
     else:
@@ -58,9 +58,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, growth: float
     """The columns of docs and __copy (1 ..), __order; rows are in global random order if shuffle is true."""
     rated = small(written(rates(docs, weights, growth, source), "rates"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = docs.join(rated, F.col(source).eqNullSafe(F.col("__s")), "left")
-    counted = joined.withColumn("__u", uniform(key, seed)).withColumn("__copies", poisson_count(F.col("__u"), F.coalesce("__rate", F.lit(0.0))))
-    out = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    out = out.withColumn("__order", F.md5(F.concat(F.lit(seed + "/order:"), key, F.lit(":"), F.col("__copy").cast("string"))))
-    out = out.select(*docs.columns, "__copy", "__copies", "__order")
+    # the row travels as one struct, so its columns cannot clash with those made here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col(source).alias("src"))
+    joined = rows.join(rated, F.col("src").eqNullSafe(F.col("__s")), "left")
+    counted = joined.withColumn("u", uniform(F.col("key"), seed)).withColumn("copies", poisson_count(F.col("u"), F.coalesce("__rate", F.lit(0.0))))
+    out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = F.md5(F.concat(F.lit(seed + "/order:"), F.col("key"), F.lit(":"), F.col("copy").cast("string")))
+    out = out.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("copy").alias("__copy"), F.col("copies").alias("__copies"), order.alias("__order"))
     return out.orderBy("__order") if shuffle else out

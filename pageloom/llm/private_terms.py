@@ -121,13 +121,14 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, alpha: float =
 
 
 def _with_spans(docs: DataFrame, cols: list[Column], id_col: str, text_col: str, alpha: float, contexts: int) -> DataFrame:
-    """cols of each row with __base and __spans (base and term spans by start, then kind)."""
+    """row (a struct of cols) with __base and __spans (base and term spans by start, then kind)."""
     found = written(mentions(docs, id_col, text_col), "mentions")
     told = small(written(disclosing(docs, found, text_col, alpha, contexts), "disclosing"))
     each = found.select("key", "e", F.explode("terms").alias("m")).withColumn("t", F.col("m.t")).join(told, ["e", "t"], "left_semi")
     added = each.groupBy("key").agg(F.collect_set(F.struct(F.col("m.s").alias("s"), F.lit(4).alias("k"), F.col("m.e").alias("e"), F.col("m.t").alias("m"))).alias("__added"))
     added = small(written(added.withColumnRenamed("key", "__key"), "added"))
-    own = docs.select(*cols, _key(id_col, text_col).alias("__key"), base_spans(F.col(text_col)).alias("__base"))
+    # the row travels as one struct, so its columns cannot clash with those made here
+    own = docs.select(F.struct(*cols).alias("row"), _key(id_col, text_col).alias("__key"), base_spans(F.col(text_col)).alias("__base"))
     joined = own.join(added, "__key", "left")
     return joined.withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__added", F.array().cast(SPAN)))))
 
@@ -141,7 +142,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, the counts by kind, base_sha256, spans (kind:start:end by start, then kind), n_term."""
     rows = _with_spans(docs, [F.col(id_col)], id_col, text_col, alpha, contexts)
     count = lambda k: F.size(F.filter("__spans", lambda x: x["k"] == k)).cast("long")
-    return rows.select(id_col, *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(_shown(F.col("__base")), 256).alias("base_sha256"), _shown(F.col("__spans")).alias("spans"), count(4).alias("n_term"))
+    return rows.select(F.col("row")[id_col].alias(id_col), *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(_shown(F.col("__base")), 256).alias("base_sha256"), _shown(F.col("__spans")).alias("spans"), count(4).alias("n_term"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, contexts: int = MIN_CONTEXTS) -> DataFrame:
@@ -151,7 +152,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     rows = _with_spans(docs, [F.col(c) for c in docs.columns], id_col, text_col, alpha, contexts)
     marks = F.array(*(F.lit(REPLACEMENT[k]) for k in (*KINDS, "term")))
-    t = F.col(text_col)
+    t = F.col("row")[text_col]
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
@@ -160,4 +161,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
 
     clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
     rows = rows.withColumn("__clean", F.when(F.size("__spans") > 0, clean).otherwise(t))
-    return rows.select(*(F.col("__clean").alias(c) if c == text_col else F.coalesce(F.length("__clean").cast("long"), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    changed = {text_col: F.col("__clean"), "n_chars": F.coalesce(F.length("__clean").cast("long"), F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return rows.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -114,20 +114,23 @@ def posteriors(scored: DataFrame, host: str, path: str, p: str) -> DataFrame:
 
 
 def _judged(docs: DataFrame, weights: list[float], keep_cols: list[str], host: str, path: str, text: str) -> DataFrame:
-    """keep_cols with __logit, __shift and __p of each row."""
-    own = docs.select(*(docs[c] for c in keep_cols), docs[host].alias("__h"), docs[path].alias("__q"), evidence(docs[text], weights).alias("__logit"))
-    scored = own.select("__h", "__q", (1 / (1 + F.exp(-F.col("__logit")))).alias("__own"))
-    sites = small(written(posteriors(scored, "__h", "__q", "__own").toDF("__site_h", "__site_q", "__site_shift"), "sites"))
-    joined = own.join(sites, F.col("__h").eqNullSafe(F.col("__site_h")) & F.col("__q").eqNullSafe(F.col("__site_q")), "left")
-    return joined.withColumn("__shift", F.coalesce("__site_shift", F.lit(0.0))).withColumn("__p", 1 / (1 + F.exp(-(F.col("__logit") + F.lit(SITE_WEIGHT) * F.col("__shift")))))
+    """row (a struct of keep_cols), host, path, logit, shift and p of each row."""
+    # the row travels as one struct, so its columns cannot clash with those made here
+    own = docs.select(F.struct(*keep_cols).alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), evidence(F.col(text), weights).alias("logit"))
+    scored = own.select("host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
+    sites = small(written(posteriors(scored, "host", "path", "p").toDF("site_host", "site_path", "site_shift"), "sites"))
+    joined = own.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
+    shifted = joined.withColumn("shift", F.coalesce("site_shift", F.lit(0.0)))
+    return shifted.withColumn("p", 1 / (1 + F.exp(-(F.col("logit") + F.lit(SITE_WEIGHT) * F.col("shift")))))
 
 
 def site_quality(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, host, path, evidence, site_shift, quality (probability), kept."""
     out = _judged(docs, weights, [id_col], host, path, text)
-    return out.select(id_col, F.col("__h").alias("host"), F.col("__q").alias("path"), F.col("__logit").alias("evidence"), F.col("__shift").alias("site_shift"), F.col("__p").alias("quality"), (F.col("__p") >= KEEP).alias("kept"))
+    return out.select(F.col("row")[id_col].alias(id_col), "host", "path", F.col("logit").alias("evidence"), F.col("shift").alias("site_shift"), F.col("p").alias("quality"), (F.col("p") >= KEEP).alias("kept"))
 
 
 def keep_good(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return _judged(docs, weights, docs.columns, host, path, text).where(F.col("__p") >= KEEP).select(docs.columns)
+    good = _judged(docs, weights, docs.columns, host, path, text).where(F.col("p") >= KEEP)
+    return good.select(*(F.col("row")[c].alias(c) for c in docs.columns))
