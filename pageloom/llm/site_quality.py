@@ -26,25 +26,38 @@ STRENGTH = (5.0, 1000.0)
 
 
 
-def features(text: Column) -> list[Column]:
-    """Numbers between about 0 and 1 that tell junk from prose; texts of every length."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
+#: The characters that features count.
+_SYMBOLS, _BARS, _SHOUTS, _DIGITS, _CAPITALS = "#*$%&<>", "|", "!?", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÑÓÇÊÍ"
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """rows (with a column t, the text) with n words, d different words, chars and marks, the counted characters.
+
+    The text is split once and thinned to its marks once; each stands in a projection of its own, so that Spark does
+    not compute it again for each feature.
+    """
+    others = [c for c in rows.columns if c != "t"]
+    text = rows.select(*others, F.coalesce("t", F.lit("")).alias("t"))
+    split = text.select(*others, F.filter(F.split("t", "[ \\t-\\r]+"), lambda w: w != "").alias("words"), F.length("t").alias("chars"), F.regexp_replace("t", f"[^{_SYMBOLS}{_BARS}{_SHOUTS}{_DIGITS}{_CAPITALS}]+", "").alias("marks"))
+    return split.select(*others, F.greatest(F.size("words"), F.lit(1)).cast("double").alias("n"), F.size(F.array_distinct("words")).alias("d"), F.greatest("chars", F.lit(1)).cast("double").alias("chars"), "marks")
+
+
+def features() -> list[Column]:
+    """Numbers between about 0 and 1 that tell junk from prose, of the columns that `measured` gives."""
+    n, d, chars, marks = F.col("n"), F.col("d"), F.col("chars"), F.col("marks")
 
     def share(of: str, scale: float = 1.0) -> Column:
-        return F.least(F.lit(1.0), (F.length(t) - F.length(F.translate(t, of, ""))) / chars * scale)
+        return F.least(F.lit(1.0), (F.length(marks) - F.length(F.translate(marks, of, ""))) / chars * scale)
 
     return [
         F.least(F.lit(1.0), F.log(n + 1) / 8),
-        share("#*$%&<>", 5.0),
-        share("|", 10.0),
-        share("!?", 5.0),
-        share("0123456789", 3.0),
-        share("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÑÓÇÊÍ", 1.5),
-        F.size(F.array_distinct(words)) / n,
-        F.when(n > 20, F.log(F.size(F.array_distinct(words)) + F.lit(1.0)) / F.log(n + 1)).otherwise(1.0),
+        share(_SYMBOLS, 5.0),
+        share(_BARS, 10.0),
+        share(_SHOUTS, 5.0),
+        share(_DIGITS, 3.0),
+        share(_CAPITALS, 1.5),
+        d / n,
+        F.when(n > 20, F.log(d + F.lit(1.0)) / F.log(n + 1)).otherwise(1.0),
         F.least(F.lit(1.0), chars / n / 20),
     ]
 
@@ -73,13 +86,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> l
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "quality", train_docs)
     frame = spark.createDataFrame([(t, y) for _, t, y in sample], "text string, y int") if sample else spark.createDataFrame([], "text string, y int")
-    return fit([(list(r.f), r.y) for r in frame.select(F.array(*(f.cast("double") for f in features(F.col("text")))).alias("f"), "y").collect()])
+    rows = measured(frame.withColumnRenamed("text", "t")).select(F.array(*(f.cast("double") for f in features())).alias("f"), "y")
+    return fit([(list(r.f), r.y) for r in rows.collect()])
 
 
-def evidence(text: Column, weights: list[float]) -> Column:
-    """The document's own logit."""
+def evidence(weights: list[float]) -> Column:
+    """The document's own logit, of the columns that `measured` gives."""
     out = F.lit(weights[0])
-    for w, f in zip(weights[1:], features(text), strict=True):
+    for w, f in zip(weights[1:], features(), strict=True):
         out = out + F.lit(w) * f
     return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), out))
 
@@ -116,7 +130,8 @@ def posteriors(scored: DataFrame, host: str, path: str, p: str) -> DataFrame:
 def _judged(docs: DataFrame, weights: list[float], keep_cols: list[str], host: str, path: str, text: str) -> DataFrame:
     """row (a struct of keep_cols), host, path, logit, shift and p of each row."""
     # the row travels as one struct, so its columns cannot clash with those made here
-    own = docs.select(F.struct(*keep_cols).alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), evidence(F.col(text), weights).alias("logit"))
+    own = docs.select(F.struct(*keep_cols).alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("t"))
+    own = measured(own).select("row", "host", "path", evidence(weights).alias("logit"))
     scored = own.select("host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
     sites = small(written(posteriors(scored, "host", "path", "p").toDF("site_host", "site_path", "site_shift"), "sites"))
     joined = own.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
