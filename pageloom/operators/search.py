@@ -42,8 +42,14 @@ def parse_json_hits(payloads: DataFrame, provider: str) -> DataFrame:
 
 def fan_in(payloads: DataFrame, flags: int) -> DataFrame:
     """The hits of all providers that flags names, in one frame."""
-    wanted = [p for p in PROVIDERS if flags & FLAGS[p] and (p in JSON or p == "wikipedia")]
-    return reduce(DataFrame.unionByName, [parse_json_hits(payloads, p) for p in wanted])
+    from pageloom.operators.search_markup import parse_markup_hits
+
+    wanted = [p for p in PROVIDERS if flags & FLAGS[p]]
+    parts = [parse_json_hits(payloads, p) for p in wanted if p in JSON or p == "wikipedia"]
+    markup = [p for p in wanted if p not in JSON and p != "wikipedia"]
+    if markup:
+        parts.append(parse_markup_hits(payloads.where(F.col("provider").isin(*markup))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def provider_order(source: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import js, urls
 from pageloom.operators import crawl as crawling
-from pageloom.operators import search, usage
+from pageloom.operators import css, search, usage
 from pageloom.operators.article import skim
+from pageloom.operators.selections import selections
 from pageloom.plans import selectors
 from pageloom.sources.pages import parse_pages
 from pageloom.streaming import events as windows
@@ -132,6 +133,21 @@ def article_links(spark, d):
     return skim(_t(spark, d, "pages")).select("page_id", F.posexplode("nav_links").alias("pos", "link")).select("page_id", "pos", "link.href", "link.text")
 
 
+@query("select page_id, len(regexp_extract_all(html, '<li>'))::int as n_items, len(regexp_extract_all(html, '<h1>'))::int as n_heads from pages")
+def page_selections(spark, d):
+    """The crawl's selector projection: matches and their texts, in the same hop as parsing."""
+    chosen = selections(_t(spark, d, "pages"), ["nav li", "h1"])
+    count = lambda k: F.col("selections")[k]["match_count"]
+    return chosen.select("page_id", count(0).alias("n_items"), count(1).alias("n_heads"))
+
+
+@query()
+def css_computed_style(spark, d):
+    """A small sheet's cascade over all pages: how often each property takes each value."""
+    sheet = "p { margin: 0 } article p { color: navy; margin: 1px } body { color: black } nav, .ad { color: gray } h1 { font-size: 2em !important }"
+    return css.computed_style(_nodes(spark, d), sheet).groupBy("property", "value").agg(F.count("*").alias("n"))
+
+
 # --- URLs ---
 
 
