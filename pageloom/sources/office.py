@@ -259,6 +259,7 @@ def to_pages(files: DataFrame, id_col: str = "page_id") -> DataFrame:
     """id, url, html, kind, error of files (id, url, content_type, body): documents become article pages, all else is
     decoded text. A file that cannot be read gives a row with its error, never a failed job."""
     from pageloom.sources.html import decode
+    from pageloom.sources.pdf import PdfError, pdf_html
 
     source = files.select(id_col, "url", "content_type", "body")
 
@@ -271,7 +272,10 @@ def to_pages(files: DataFrame, id_col: str = "page_id") -> DataFrame:
             if kind == "xlsx":
                 return key, url, xlsx_html(body), kind, None
             if kind == "pdf":
-                return key, url, _page(None, "<p>This kind of document is not read.</p>"), kind, "pdf is not read"
+                try:
+                    return key, url, _page(None, pdf_html(body)), kind, None
+                except PdfError as e:
+                    return key, url, _page(None, "<p>This document cannot be read.</p>"), kind, str(e)
             return key, url, decode(body, content_type), None, None
         except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError, TypeError) as e:
             return key, url, None, kind, f"{type(e).__name__}: {e}"
