@@ -29,6 +29,8 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints under one key that are compared in pairs, at most; larger keys go by common neighbours.
 BUCKET = 48
+#: Documents of one fingerprint from which its rows are joined apart.
+HOT = 200
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -132,14 +134,18 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def near_copies(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable)."""
     own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    groups = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "groups")
+    groups = written(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "groups")
     tied = components(links(groups.select("fp")))
     rooted = groups.join(tied, groups["fp"] == tied["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = tied.join(named, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
     # only linked fingerprints differ from their own group's least id
-    final = groups.join(moved, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
-    return own.join(final, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = written(groups.join(moved, "fp", "left").select("fp", "n", F.coalesce("linked_id", "least").alias("component_id")), "final")
+    # fingerprints of many documents are few: their rows are joined apart, so no task gets a whole large group
+    hot = small(final.where(F.col("n") > HOT))
+    rest = own.join(hot, "fp", "left_anti").join(final.where(F.col("n") <= HOT), "fp")
+    rows = own.join(hot, "fp").unionByName(rest)
+    return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
