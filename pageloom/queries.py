@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return parse_pages(_t(spark, d, "pages"))
+    """The node table, kept while a query's joins read it several times, so each page is parsed once. Over many
+    queries it is better written once as Parquet, where filters on kind and tag reach the scan."""
+    return parse_pages(_t(spark, d, "pages")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
