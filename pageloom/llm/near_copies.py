@@ -8,6 +8,12 @@ way: there, fingerprints link if they have a common neighbour at distance 1 or l
 own value and its one-bit neighbours in the free segments and all under one value are joined to the smallest; that
 is linear in the bucket. Links between different fingerprints go to alternating large-star and small-star steps.
 
+`similar_copies` is the rule by similarity: texts whose sets of shingles have a Jaccard similarity of at least a given
+share. Such pairs differ in about 10 of the 64 bits at 0.8, more than any ring can be laid out for, so candidates come
+from BANDS keys of ROWS minima of the shingles' hashes (a pair at 0.8 is missed with probability 3e-6), and every
+candidate is checked on its exact sets. Under keys of more than BUCKET texts, a few centres are checked against all
+texts of the key; then all texts outside the largest component that a key has, too, so that no link is left out.
+
 Defined results: a null text counts as empty; texts without a word have fingerprint zero, linked like any other;
 rows with a null id get a component like others but never name it unless all ids are null (then null); repeated
 rows share a component; only the id and text columns are read.
@@ -31,6 +37,8 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BUCKET = 48
 #: Documents of one fingerprint from which its rows are joined apart.
 HOT = 200
+#: Keys of a text for candidates by similarity and minima in each; centres of a crowded key that come first.
+BANDS, ROWS, CENTRES = 32, 5, 8
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -148,8 +156,115 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", t
     return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id is not its component's; rows of one id stay together, null ids stay."""
-    found = written(near_copies(docs, width, id_col, text_col), "copies")
+def shingles(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """A key of the words (a signed long) and the distinct shingles' XXH64 values, sorted; none without a word."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, n = b" ".join(words), len(words)
+    key = xxh64_intdigest(joined, SEED + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(n - width + 1, min(n, 1))].tolist()
+    stops = ends[min(width, n) - 1 :].tolist() if n else []
+    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return key - (1 << 64) * (key >> 63), np.unique(h)
+
+
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys (signed longs) of a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    least = np.array([(h * a).min() for a in _ODD], np.uint64).reshape(BANDS, ROWS)
+    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def _keyed(docs: DataFrame, width: int, id_col: str, text_col: str, sets: bool) -> DataFrame:
+    """id, key and the band keys (none without a word); or with `sets` key and the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                got = [shingles(t.as_py(), width) for t in part.column(1)]
+                lists = [h.view(np.int64) if sets else band_keys(h) if len(h) else h.view(np.int64) for _, h in got]
+                ends = np.cumsum([0, *map(len, lists)])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(lists)))
+                keys = pa.array([k for k, _ in got], pa.int64())
+                lists = lists.cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, lists] if sets else [part.column(0), keys, lists], ["key", "h"] if sets else [id_col, "key", "h"])
+
+    source = docs.select(id_col, text_col)
+    own = "" if sets else f"`{id_col}` {source.schema[0].dataType.simpleString()}, "
+    return source.mapInArrow(run, own + "key long, h array<long>")
+
+
+def _similar(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (key, h) in left and right have at least the similarity."""
+    both = pairs.join(right.toDF("b", "hb"), "b").join(left.toDF("a", "ha"), "a")
+    # a smaller set of under the similarity's share of the larger cannot reach it
+    fits = F.least(F.size("ha"), F.size("hb")) / F.greatest(F.size("ha"), F.size("hb")) >= similarity
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(fits).where(common / (F.size("ha") + F.size("hb") - common) >= similarity).select("a", "b")
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links of distinct keys of texts whose sets of shingles have at least the similarity, each in either order: all
+    candidate pairs, or for crowded band keys links that join the same texts."""
+    at = ["band", "part"]
+    distinct = signed.groupBy("key").agg(F.first("h").alias("h"))
+    keys = written(distinct.select("key", F.posexplode("h").alias(*at)), "keys")
+    crowded = small(written(keys.groupBy(*at).count().where(F.col("count") > BUCKET).select(*at), "crowded"))
+    few, many = keys.join(crowded, at, "left_anti"), written(keys.join(crowded, at, "left_semi"), "many")
+    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), at).where("a < b").select("a", "b")
+    pairs = written(pairs.distinct(), "pairs")
+    used = small(written(pairs.select("a").union(pairs.select("b")).union(many.select("key")).distinct().toDF("key"), "used"), 500_000)
+    sets = _keyed(docs, width, id_col, text_col, True).join(used, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h"))
+    sets = written(sets, "sets")
+    found = written(_similar(pairs, sets, sets, similarity), "similar")
+    if many.isEmpty():
+        return found
+
+    def around(centres: DataFrame) -> DataFrame:
+        own = written(sets.join(centres.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "centres")
+        near = many.withColumnRenamed("key", "b").join(small(centres), at).where("a <> b").select("a", "b").distinct()
+        return written(_similar(near, small(own, 2000), sets, similarity), "similar")
+
+    some = many.groupBy(*at).agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(CENTRES)))).alias("c"))
+    found = written(found.union(around(written(some.select(*at, F.explode("c").alias("a")), "some"))), "found")
+    # pairs in two components have one text outside a key's largest component: those are centres, too
+    tied = components(_ordered(found)).withColumnRenamed("node", "key")
+    rooted = written(many.join(tied, "key", "left").select(*at, "key", F.coalesce("root", "key").alias("root")), "near")
+    top = rooted.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", F.struct("count", "root")).alias("top"))
+    rest = rooted.join(small(written(top, "top")), at).where("root <> top").select(*at, F.col("key").alias("a"))
+    return found.union(around(written(rest, "rest")))
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_copies(docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, component_id (the smallest id reachable over pairs of at least the similarity)."""
+    signed = written(_keyed(docs, width, id_col, text_col, False), "signatures")
+    groups = written(signed.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "groups")
+    tied = components(_ordered(similar_links(docs, signed, width, similarity, id_col, text_col))).withColumnRenamed("node", "key")
+    rooted = written(groups.join(tied, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    # only roots of others need a join: their components have several keys
+    named = rooted.join(tied.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("linked_id"))
+    named = small(written(named, "named"))
+    final = written(rooted.join(named, "root", "left").select("key", "n", F.coalesce("linked_id", "least").alias("component_id")), "final")
+    hot = small(final.where(F.col("n") > HOT))
+    own = signed.select(id_col, "key")
+    return own.join(hot, "key").unionByName(own.join(hot, "key", "left_anti").join(final.where(F.col("n") <= HOT), "key")).select(id_col, "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """docs without the rows whose id is not its component's; rows of one id stay together, null ids stay. With a
+    similarity the components are those of `similar_copies`, else those of `near_copies`."""
+    found = near_copies(docs, width, id_col, text_col) if similarity is None else similar_copies(docs, width, similarity, id_col, text_col)
+    found = written(found, "copies")
     drop = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "drop")
     return docs.join(small(drop, 500_000), id_col, "left_anti").select(docs.columns)

@@ -251,6 +251,36 @@ def test_fingerprints_and_components(spark, docs, none, monkeypatch):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect() if r.doc_id is not None} == {r.component_id for r in got if r.component_id is not None}
 
 
+def test_copies_by_similarity(spark, none, monkeypatch):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 300))] for _ in range(12)]
+    texts = [None, "", "one", "ONE", "one two"]
+    for words in base:
+        for _ in range(15):
+            edited = list(words)
+            for _ in range(rng.randint(0, len(words) // 20)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(5000)}"
+            texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}
+
+    root = list(range(len(texts)))
+    of = [sets(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if of[a] == of[b] == set() or (of[a] and len(of[a] & of[b]) / len(of[a] | of[b]) >= 0.8):
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert len(set(root)) < len({near_copies.fingerprint(t) for t in texts})
+    for bucket in (near_copies.BUCKET, 3):
+        monkeypatch.setattr(near_copies, "BUCKET", bucket)
+        got = {r.doc_id: r.component_id for r in near_copies.similar_copies(df, 5, 0.8).collect()}
+        assert [got[k] for k in range(len(texts))] == root
+    assert {r.doc_id for r in near_copies.one_of_each(df, 5, similarity=0.8).collect()} == set(root)
+    assert near_copies.similar_copies(none, 5, 0.8).count() == 0
+
+
 def test_links_of_crowded_and_other_keys(spark, monkeypatch):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(60)}
