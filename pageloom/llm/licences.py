@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 A sentence that speaks of rights is a candidate block. It is compressed alone and with each template as a raw
-zstandard dictionary; the template that saves the largest share wins, and the winner is confirmed by the words in
-which block and template differ.
+zstandard dictionary. Every template that saves at least a share of its own length is confirmed if its telling words
+(all but FILLER: names, versions, clauses) stand in the block exactly and in a row, and few of its other words differ.
 
-Defined results: a null or empty text gives no row; ties go to the first template by name; repeated rows are scanned
+Defined results: a null or empty text gives no row; unconfirmed ties go to the first template by name; repeated rows are scanned
 each; only the id and text columns are read. Texts are scanned whole.
 """
 
@@ -37,8 +37,10 @@ TEMPLATES = {
 SPEAKS = re.compile(r"licen[sc]e|copyright|all rights reserved|public domain|spdx|\bCC[ -]?(?:BY|0)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
-#: A winner saves at least this share and differs in at most this share of the template's words.
+#: A confirmed template saves at least this share of its length; at most this share of its words differ.
 SAVING, WORDING = 0.3, 0.25
+#: Words that do not tell licenses apart; all others of a template must stand as they are.
+FILLER = frozenset("a an and as dedicated is licence licensed licenced license of released subject terms the this to under version work".split())
 #: A candidate block has at most this many characters; longer sentences are scanned in overlapping windows.
 BLOCK = 400
 
@@ -72,32 +74,48 @@ class Scanner:
         self.words = {k: _WORD.findall(t.lower()) for k, t in self.templates.items()}
         self.known: dict[str, tuple] = {}
 
-    def scan(self, block: str) -> tuple:
-        """(license, saving, words that differ, confirmed)"""
+    def scan(self, block: str) -> list[tuple]:
+        """(license, saving, words that differ, confirmed) of each confirmed template, or of the best one if none is"""
         if block in self.known:
             return self.known[block]
         raw = block.encode()
-        alone = len(self.alone.compress(raw))
-        ranked = sorted((len(c.compress(raw)), k) for k, c in self.given.items())
-        own, best = _WORD.findall(block.lower()), None
-        for size, name in ranked[:3]:
-            want = self.words[name]
-            ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
-            # words before and after the notice are other wording of the sentence, not of the notice
-            inner = [o for k, o in enumerate(ops) if o[0] != "equal" and not (o[0] == "insert" and k in (0, len(ops) - 1))]
-            differ = sum(max(o[2] - o[1], o[4] - o[3]) for o in inner)
-            got = (differ, -(1 - size / alone), name)
-            best = min(best, got) if best else got
-        differ, saving, name = best
-        got = (name, round(-saving, 6), differ, -saving >= SAVING and differ <= WORDING * len(self.words[name]))
+        alone, own = len(self.alone.compress(raw)), _WORD.findall(block.lower())
+        tells = [k for k, w in enumerate(own) if w not in FILLER]
+        got = []
+        for name, c in self.given.items():
+            saving = round((alone - len(c.compress(raw))) / len(self.templates[name].encode()), 6)
+            differ = self.differ(name, own, tells) if saving >= SAVING else None
+            got.append((name, saving, differ, differ is not None and differ <= WORDING * len(self.words[name])))
+        best = max(got, key=lambda x: x[1])
+        whole = _differ(self.words[best[0]], own) if best[2] is None else best[2]
+        got = [x for x in got if x[3]] or [(best[0], best[1], whole, False)]
         if len(self.known) > 10_000:
             self.known.clear()
         self.known[block] = got
         return got
 
+    def differ(self, name: str, own: list[str], tells: list[int]) -> int | None:
+        """The fewest words that differ where the template's telling words stand, exactly and in a row; else none."""
+        want = self.words[name]
+        at = [k for k, w in enumerate(want) if w not in FILLER] or list(range(len(want)))
+        places = tells if any(w not in FILLER for w in want) else list(range(len(own)))
+        found = []
+        for k in range(len(places) - len(at) + 1):
+            if all(own[places[k + j]] == want[at[j]] for j in range(len(at))):
+                first, last = places[k], places[k + len(at) - 1]
+                found.append(_differ(want, own[max(0, first - at[0] - 2) : last + len(want) - at[-1] + 2]))
+        return min(found, default=None)
+
+
+def _differ(want: list[str], own: list[str]) -> int:
+    ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
+    # words before and after the notice are other wording of the sentence, not of the notice
+    inner = [o for k, o in enumerate(ops) if o[0] != "equal" and not (o[0] == "insert" and k in (0, len(ops) - 1))]
+    return sum(max(o[2] - o[1], o[4] - o[3] if 0 < o[1] and o[2] < len(want) else 0) for o in inner)
+
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block: id, start, block, license, saving, n_differ, confirmed."""
+    """One row per candidate block and license confirmed in it, or one for the best license if none is: id, start, block, license, saving, n_differ, confirmed."""
     source = docs.select(id_col, text_col).where(F.col(text_col).rlike(r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|CC[ -]?(BY|0)"))
     given = templates or TEMPLATES
 
@@ -107,8 +125,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
             at, rows = [], []
             for k, t in enumerate(b.column(1)):
                 for start, block in blocks(t.as_py()):
-                    at.append(k)
-                    rows.append((start, block, *scanner.scan(block)))
+                    for verdict in scanner.scan(block):
+                        at.append(k)
+                        rows.append((start, block, *verdict))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True))], [id_col, "start", "block", "license", "saving", "n_differ", "confirmed"])
 

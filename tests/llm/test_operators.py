@@ -127,6 +127,20 @@ def test_license_scan(spark, none):
     assert licences.license_scan(none).count() == 0
 
 
+PREAMBLE = "The editors thank all readers who sent in their remarks over so many years and hope that the volume serves them as well as the one before it did in the old house near the harbour wall, "
+
+
+def test_license_wording():
+    scanner = licences.Scanner(licences.TEMPLATES)
+    confirmed = lambda t: {x[0] for x in scanner.scan(t) if x[3]}
+    for name, notice in licences.TEMPLATES.items():
+        assert confirmed(notice) == {name} and confirmed(PREAMBLE + notice) == {name}, name
+    assert confirmed("Copyright 2024 Foo Press, All rights reserved.") == {"Proprietary"}
+    for t in ("Released under the ISC License.", "Licensed under CC BY 3.0.", "Released under the BSD 4-Clause License.", "He gave a talk at MIT on the license of the river."):
+        assert not confirmed(t), t
+    assert confirmed("Released under the MIT License and licensed under the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+
+
 # 4
 
 
