@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-A sentence that speaks of rights is a candidate block. It is compressed alone and with each template as a raw
+A sentence that speaks of rights, be it wrapped over several lines, is a candidate block. It is compressed alone and with each template as a raw
 zstandard dictionary. Every template that saves at least a share of its own length is confirmed if its telling words
 (all but FILLER: names, versions, clauses) stand in the block exactly and in a row, and few of its other words differ.
 
@@ -34,33 +34,44 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "All rights reserved.",
 }
-SPEAKS = re.compile(r"licen[sc]e|copyright|all rights reserved|public domain|spdx|\bCC[ -]?(?:BY|0)\b", re.I)
+SPEAKS = re.compile(r"licen[sc]e|copyright|all[\s#*/;%-]+rights[\s#*/;%-]+reserved|public[\s#*/;%-]+domain|spdx|\bCC[\s#*/;%-]*(?:BY|0)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 #: A confirmed template saves at least this share of its length; at most this share of its words differ.
 SAVING, WORDING = 0.3, 0.25
 #: Words that do not tell licenses apart; all others of a template must stand as they are.
 FILLER = frozenset("a an and as dedicated is licence licensed licenced license of released subject terms the this to under version work".split())
-#: A candidate block has at most this many characters; longer sentences are scanned in overlapping windows.
-BLOCK = 400
+#: Longer sentences are scanned in overlapping windows of so many characters, and those of words cut at their ends.
+BLOCK, WORD = 400, 40
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block) of the sentences that speak of rights."""
+    """(start, block) of the sentences that speak of rights; a sentence goes on over single newlines."""
     at = 0
-    for line in text.split("\n"):
-        if SPEAKS.search(line):
+    for gap in [*((m.start(), m.end()) for m in _BLANK.finditer(text)), (len(text), len(text))]:
+        passage = text[at : gap[0]]
+        if SPEAKS.search(passage):
             start = 0
-            for end in [*(m.start() for m in _SENTENCE.finditer(line)), len(line)]:
-                part = line[start:end]
+            for end in [*(m.start() for m in _SENTENCE.finditer(passage)), len(passage)]:
+                part = passage[start:end]
                 if SPEAKS.search(part):
                     for k in range(0, max(1, len(part) - BLOCK // 2), BLOCK // 2):
-                        piece = part[k : k + BLOCK]
+                        low, high = _whole_words(part, k, k + BLOCK)
+                        piece = part[low:high]
                         if SPEAKS.search(piece):
                             lead = len(piece) - len(piece.lstrip())
-                            yield at + start + k + lead, piece.strip()
+                            yield at + start + low + lead, piece.strip()
                 start = end
-        at += len(line) + 1
+        at = gap[1]
+
+
+def _whole_words(part: str, low: int, high: int) -> tuple[int, int]:
+    """The window, widened to whole words (of up to WORD characters), so that no cut makes another version of one."""
+    for _ in range(WORD):
+        low -= 0 < low and not part[low - 1].isspace()
+        high += high < len(part) and not part[high].isspace()
+    return low, high
 
 
 class Scanner:
@@ -116,7 +127,7 @@ def _differ(want: list[str], own: list[str]) -> int:
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate block and license confirmed in it, or one for the best license if none is: id, start, block, license, saving, n_differ, confirmed."""
-    source = docs.select(id_col, text_col).where(F.col(text_col).rlike(r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|CC[ -]?(BY|0)"))
+    source = docs.select(id_col, text_col).where(F.col(text_col).rlike(r"(?iU)licen[sc]e|copyright|all[\s#*/;%-]+rights[\s#*/;%-]+reserved|public[\s#*/;%-]+domain|spdx|CC[\s#*/;%-]*(BY|0)"))
     given = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

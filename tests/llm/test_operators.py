@@ -141,6 +141,21 @@ def test_license_wording():
     assert confirmed("Released under the MIT License and licensed under the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
 
 
+def test_wrapped_license_notices():
+    scanner = licences.Scanner(licences.TEMPLATES)
+    for name, notice in licences.TEMPLATES.items():
+        words = notice.split()
+        for k in range(1, len(words)):
+            for line in ("\n", "\r\n", "\n    ", "\n# ", "\n * "):
+                text = "Ünï 😀 head\n\n" + " ".join(words[:k]) + line + " ".join(words[k:]) + "\n\nOther prose."
+                found = list(licences.blocks(text))
+                assert all(text[start:].startswith(block) for start, block in found)
+                assert {x[0] for _, block in found for x in scanner.scan(block) if x[3]} == {name}, text
+    for k in range(190, 420):
+        found = licences.blocks("a " * (k // 2) + "b" * (k % 2) + " This work is licensed under the GNU General Public License, version 3.1 " + "c " * 300)
+        assert not any(x[3] for _, block in found for x in scanner.scan(block))
+
+
 # 4
 
 
