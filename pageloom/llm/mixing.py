@@ -2,7 +2,8 @@
 
 A source whose target share is w and whose natural share is n gets the mean repetition rate w / n (times the wanted
 growth). Each document draws its count by inverting the Poisson distribution at a uniform number made from a hash of
-seed and id, is exploded by that count, and all copies are ordered globally by another hash.
+seed and id, is exploded by that count, and all copies are ordered globally by another hash. A rate over ONE_DRAW is
+drawn as the sum of independent draws of equal rates, which has the same distribution.
 
 Defined results: the draw depends on id and text only, so repeated rows draw alike; null ids draw by their text; a
 null source is a source of its own; a source without a target takes the default target; an empty table gives none.
@@ -18,13 +19,17 @@ from pageloom.llm.shared import small, written
 SEED = "mix-1"
 #: Target weights are natural sizes to this power, unless weights are given.
 TEMPERATURE = 0.7
-#: Terms of the inversion's cumulative sums; at MAX_RATE the mass beyond is under 1e-12.
-TERMS, MAX_RATE = 64, 16.0
+#: Terms of the inversion's cumulative sums; at ONE_DRAW, the highest rate of one draw, the mass beyond is under 1e-12.
+TERMS, ONE_DRAW = 64, 16.0
 
 
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) from 52 bits of an MD5; the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return _uniform(F.concat(F.lit(seed + ":"), key))
+
+
+def _uniform(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def poisson_count(u: Column, rate: Column) -> Column:
@@ -34,6 +39,15 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["k"]
 
 
+def copies_drawn(key: Column, seed: str, rate: Column) -> Column:
+    """The count of a document at any rate; the first draw's number is uniform(key, seed)."""
+    draws = F.ceil(rate / ONE_DRAW).cast("int")
+    number = lambda i: F.concat(F.lit("/draw-"), i.cast("string"), F.lit(":"), key)
+    u = lambda i: F.when(i == 1, uniform(key, seed)).otherwise(_uniform(F.concat(F.lit(seed), number(i))))
+    several = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda n, i: n + poisson_count(u(i), rate / draws))
+    return F.when(rate > ONE_DRAW, several).otherwise(poisson_count(uniform(key, seed), rate))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, source: str = "source") -> DataFrame:
     """source, rate: the mean repetitions. Counts are combined before the shuffle."""
     sizes = docs.select(F.col(source).alias("__s")).groupBy("__s").agg(F.count("*").alias("__n"))
@@ -51,7 +65,7 @@ def _rated(sizes: DataFrame, total: DataFrame, growth: float) -> DataFrame:
     t = total.first()
     if not t.tn or not t.tw:
         return sizes.select("__s", F.lit(0.0).alias("__rate"))
-    return sizes.select("__s", F.least(F.lit(MAX_RATE), F.round(F.lit(growth * t.tn / t.tw) * F.col("__w") / F.col("__n"), 9)).alias("__rate"))
+    return sizes.select("__s", F.round(F.lit(growth * t.tn / t.tw) * F.col("__w") / F.col("__n"), 9).alias("__rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source: str = "source", shuffle: bool = True) -> DataFrame:
@@ -61,7 +75,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, growth: float
     # the row travels as one struct, so its columns cannot clash with those made here
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col(source).alias("src"))
     joined = rows.join(rated, F.col("src").eqNullSafe(F.col("__s")), "left")
-    counted = joined.withColumn("u", uniform(F.col("key"), seed)).withColumn("copies", poisson_count(F.col("u"), F.coalesce("__rate", F.lit(0.0))))
+    counted = joined.withColumn("rate", F.coalesce("__rate", F.lit(0.0))).withColumn("copies", copies_drawn(F.col("key"), seed, F.col("rate")))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.md5(F.concat(F.lit(seed + "/order:"), F.col("key"), F.lit(":"), F.col("copy").cast("string")))
     out = out.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("copy").alias("__copy"), F.col("copies").alias("__copies"), order.alias("__order"))

@@ -114,6 +114,31 @@ def test_mixing(spark, docs, none):
     assert [r.source for r in given] == ["s1"]
 
 
+def test_mixing_high_rates(spark):
+    df = spark.createDataFrame([(k, f"t{k}", "a" if k < 3960 else "b") for k in range(4000)], "doc_id long, text string, source string")
+    copies = {}
+    for r in mixing.mix(df, {"a": 0.5, "b": 0.5}, shuffle=False).select("doc_id", "source").collect():
+        copies.setdefault(r.source, []).append(r.doc_id)
+    assert abs(len(copies["b"]) - 2000) < 4 * 2000**0.5 and abs(len(copies["a"]) - 2000) < 4 * 2000**0.5
+    each = [copies["b"].count(k) for k in range(3960, 4000)]
+    assert 0.4 < np.var(each) / np.mean(each) < 1.9
+
+    def drawn(k):  # a rate of 50 is four draws of 12.5
+        n = 0
+        for head in ("", *(f"/draw-{i}" for i in (2, 3, 4))):
+            u = int(hashlib.md5(f"{mixing.SEED}{head}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = np.exp(-12.5)
+            j = 0
+            while c <= u:
+                j += 1
+                p *= 12.5 / j
+                c += p
+            n += j
+        return n
+
+    assert each == [drawn(k) for k in range(3960, 4000)]
+
+
 # 3
 
 
