@@ -251,6 +251,74 @@ def test_private_spans(spark, docs, none):
     clean = {r.doc_id: r.text for r in private_terms.sanitise(df).collect()}
     assert "q.max" not in clean[5000] and "Quintus" not in clean[5000] and "<EMAIL>" in clean[5000]
     assert private_terms.sanitise(docs).columns == docs.columns and private_terms.sanitise(docs).count() == docs.count()
+    assert private_terms.sanitise(docs).where("doc_id = 0 and text is not null").isEmpty()
+
+
+def brute_terms(texts):
+    """The disclosing terms of each text, straight from the docstring's formulas."""
+    from math import log2
+
+    spans = {t: brute_spans(t) for t in texts}
+    rows = [t for t in texts if not spans[t]] + [t for t in set(texts) if spans[t]]  # copies of a text with an entity count once
+    n = len(rows)
+
+    def words(t):
+        for s, _, e, _ in spans[t]:
+            t = t[:s] + " " * (e - s) + t[e:]
+        return {w.lower() for w in re.findall(r"[^\W\d_]\w{2,}", t)}
+
+    of = {t: words(t) for t in set(rows)}
+    every = {t: set(re.findall(r"[^\W\d_]\w{2,}", t.lower())) for t in set(rows)}
+    entities = {t: {(k, t[s:e].lower()) for s, _, e, k in spans[t]} for t in set(rows)}
+    out = {t: set() for t in set(rows)}
+    for e in {e for x in entities.values() for e in x}:
+        having = [t for t in rows if e in entities[t]]
+        for w in {w for t in having for w in of[t]}:
+            co, dt = sum(w in of[t] for t in having), sum(w in every[t] for t in rows)
+            p = (min(co, dt) + private_terms.PRIOR * len(having) / n) / (dt + private_terms.PRIOR)
+            if -log2(p) <= private_terms.LEFT_BITS and log2(p * n / len(having)) >= private_terms.LEAST_BITS:
+                for t in having:
+                    if w in of[t]:
+                        out[t].add(w)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_disclosing_terms(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(private_terms, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(private_terms, "HOT", 2)
+    rng = random.Random(12)
+    common, rare = [f"word{k}" for k in range(30)], [f"Name{k}" for k in range(40)]
+    texts = []
+    for k in range(260):
+        words = [rng.choice(common) for _ in range(rng.randint(3, 30))]
+        for j in rng.sample(range(20), rng.choice((0, 0, 1, 2))):  # an entity brings a name along, most of the time
+            words.insert(rng.randrange(len(words)), f"p{j}@mail.example.org" if j % 2 else f"10.0.0.{j}")
+            words.insert(rng.randrange(len(words)), rare[j] if rng.random() < 0.9 else rng.choice(rare))
+        texts.append(" ".join(words))
+    texts += [texts[3]] * 5 + [next(t for t in texts if "@" in t)] * 6 + ["Solo met solo@mail.example.org"] * 9
+    want = brute_terms(texts)
+    assert sum(map(len, want.values())) > 20
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, words string").repartition(3)
+    for r in private_terms.private_spans(df).collect():
+        t = texts[r.doc_id]
+        got = [x.split(":")[1:] for x in r.spans.split(",") if x.startswith("term")]
+        assert {t[int(a) : int(b)].lower() for a, b in got} == want[t] and r.n_term == len(got)
+        assert len(got) == sum(len(re.findall(rf"(?<!\w){w}(?!\w)", t.lower())) for w in want[t])
+    for r in private_terms.sanitise(df).collect():
+        assert not (want[texts[r.doc_id]] & set(re.findall(r"\w+", r.text.lower()))) and "@" not in r.text
+
+
+def test_dense_text(spark):
+    import time
+
+    text = " ".join(f"user{k}@mail{k % 7}.example.com" for k in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = private_terms.private_spans(df).first()
+    assert r.n_email == 20_000 and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_spans(text)).encode()).hexdigest()
+    assert private_terms.sanitise(df).first().text == " ".join(["<EMAIL>"] * 20_000) and time.time() - began < 120
 
 
 # 6
