@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import shared_dir, small, written
+from pageloom.llm.shared import tables_dir, small, written
 
 #: Records to an archive, and index rows to a merged range.
 ARCHIVE_RECORDS, RANGE_ROWS = 1000, 100_000
@@ -191,6 +191,6 @@ def merge_index(runs: DataFrame) -> DataFrame:
 def capture_histories(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
     """Writes the archives, reads them back and returns their merged index."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/pageloom/warc-{uuid.uuid4().hex}"
+    path = path or f"{tables_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
     return merge_index(written(index_runs(spark, path), "runs"))

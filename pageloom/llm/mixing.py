@@ -6,7 +6,10 @@ seed and id, is exploded by that count, and all copies are ordered globally by a
 drawn as the sum of independent draws of equal rates, which has the same distribution.
 
 Defined results: the draw depends on id and text only, so repeated rows draw alike; null ids draw by their text; a
-null source is a source of its own; a source without a target takes the default target; an empty table gives none.
+null source is a source of its own. Without weights a source's target is its size to the power TEMPERATURE. With weights the
+named sources share among them, by their weights, as many rows as they have (times the growth); a source that is not
+named keeps its size (times the growth), and one of weight 0 goes. An empty table gives an empty table; texts are not
+looked into, so their length does not matter.
 """
 
 from __future__ import annotations
@@ -49,27 +52,32 @@ def copies_drawn(key: Column, seed: str, rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, source: str = "source") -> DataFrame:
-    """source, rate: the mean repetitions. Counts are combined before the shuffle."""
+    """__s, __rate: the mean repetitions of each source. Counts are combined before the shuffle."""
     sizes = docs.select(F.col(source).alias("__s")).groupBy("__s").agg(F.count("*").alias("__n"))
     if weights is None:
-        want = F.pow(F.col("__n"), F.lit(TEMPERATURE))
+        sizes = sizes.withColumn("__w", F.pow(F.col("__n"), F.lit(TEMPERATURE)))
     else:
-        given = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))
-        want = F.coalesce(given[F.col("__s")], F.lit(0.0))
-    sizes = sizes.withColumn("__w", want)
-    total = sizes.agg(F.sum("__n").alias("tn"), F.sum("__w").alias("tw"))
-    return _rated(sizes, total, growth)
+        given = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v))))) if weights else F.create_map().cast("map<string,double>")
+        sizes = sizes.withColumn("__w", F.when(F.col("__s").isNotNull(), F.try_element_at(given, F.col("__s").cast("string"))))
+    named = F.col("__w").isNotNull()
+    t = sizes.agg(F.sum(F.when(named, F.col("__n"))).alias("tn"), F.sum("__w").alias("tw")).first()
+    share = F.round(F.lit(growth * t.tn / t.tw) * F.col("__w") / F.col("__n"), 9) if t.tn and t.tw else F.lit(0.0)
+    return sizes.select("__s", F.when(named, share).otherwise(growth).alias("__rate"))
 
 
-def _rated(sizes: DataFrame, total: DataFrame, growth: float) -> DataFrame:
-    t = total.first()
-    if not t.tn or not t.tw:
-        return sizes.select("__s", F.lit(0.0).alias("__rate"))
-    return sizes.select("__s", F.round(F.lit(growth * t.tn / t.tw) * F.col("__w") / F.col("__n"), 9).alias("__rate"))
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column is called so (Spark's names do not tell case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source: str = "source", shuffle: bool = True) -> DataFrame:
-    """The columns of docs and __copy (1 ..), __order; rows are in global random order if shuffle is true."""
+    """The columns of docs and __copy (1 ..), __copies, __order; rows are in global random order if shuffle is true.
+
+    A column of docs that is called so keeps its name; the new one then has more underscores. The order's first digits
+    are evenly spread, so the ranges of its partitions are known without a sample, and texts are read once.
+    """
     rated = small(written(rates(docs, weights, growth, source), "rates"))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     # the row travels as one struct, so its columns cannot clash with those made here
@@ -78,5 +86,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, growth: float
     counted = joined.withColumn("rate", F.coalesce("__rate", F.lit(0.0))).withColumn("copies", copies_drawn(F.col("key"), seed, F.col("rate")))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.md5(F.concat(F.lit(seed + "/order:"), F.col("key"), F.lit(":"), F.col("copy").cast("string")))
-    out = out.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("copy").alias("__copy"), F.col("copies").alias("__copies"), order.alias("__order"))
-    return out.orderBy("__order") if shuffle else out
+    out = out.select("row", "copy", "copies", order.alias("order"))
+    if shuffle:
+        ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        place = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
+        out = out.repartitionById(ranges, place).sortWithinPartitions("order", "copy")
+    new = [F.col(c).alias(free_name(f"__{c}", docs.columns)) for c in ("copy", "copies", "order")]
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *new)

@@ -16,7 +16,9 @@ texts of the key; then all texts outside the largest component that a key has, t
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero, linked like any other;
 rows with a null id get a component like others but never name it unless all ids are null (then null); repeated
-rows share a component; only the id and text columns are read.
+rows share a component; an empty table gives an empty table; texts are read whole, whatever their length; only the id
+and text columns are read, so extra columns of any name do not clash. Texts are told apart by 64-bit hashes of their
+words, as the fingerprints themselves are.
 """
 
 from __future__ import annotations
@@ -28,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import small, written
+from pageloom.llm.shared import met, small, written
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: First bit and width of the ring's segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints under one key that are compared in pairs, at most; larger keys go by common neighbours.
 BUCKET = 48
-#: Documents of one fingerprint from which its rows are joined apart.
-HOT = 200
 #: Keys of a text for candidates by similarity and minima in each; centres of a crowded key that come first.
 BANDS, ROWS, CENTRES = 32, 5, 8
 
@@ -61,16 +61,22 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > total).view(">u8")[0])
 
 
+def _passed(source: DataFrame, text_col: str) -> tuple[list[str], str]:
+    """The columns beside the text, and their types."""
+    fields = [f for f in source.schema if f.name != text_col]
+    return [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp, the fingerprint as a signed long."""
+    """docs (the id, the text and what else is to pass) with fp, the fingerprint as a signed long, in place of the text."""
+    names, types = _passed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], [id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps)], [*names, "fp"])
 
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"{types}, fp long")
 
 
 def _bits(segment: int) -> int:
@@ -139,66 +145,112 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def _groups(own: DataFrame, key: str, id_col: str, tied: DataFrame) -> DataFrame:
+    """One row per key: n rows, component_id, root (a key of the component), alone (whether no other key is in it)."""
+    groups = written(own.groupBy(key).agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "groups")
+    # only linked keys differ from their own group's least id
+    linked = groups.join(tied.select(F.col("node").alias(key), "root"), key).select(key, "n", "least", "root")
+    roots = groups.join(tied.select(F.col("root").alias(key)).distinct(), key, "left_semi").select(key, "n", "least", F.col(key).alias("root"))
+    linked = written(linked.unionByName(roots), "linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
+    moved = written(linked.join(named, "root").select(F.col(key), "root", "linked_id"), "moved")
+    final = groups.join(small(moved), key, "left")
+    return written(final.select(key, "n", F.coalesce("linked_id", "least").alias("component_id"), F.coalesce("root", key).alias("root"), F.col("root").isNull().alias("alone")), "final")
+
+
+def _near(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    return own, _groups(own, "fp", id_col, components(links(written(own.select("fp").distinct(), "distinct"))))
+
+
 def near_copies(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable)."""
-    own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    groups = written(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "groups")
-    tied = components(links(groups.select("fp")))
-    rooted = groups.join(tied, groups["fp"] == tied["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = tied.join(named, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
-    # only linked fingerprints differ from their own group's least id
-    final = written(groups.join(moved, "fp", "left").select("fp", "n", F.coalesce("linked_id", "least").alias("component_id")), "final")
-    # fingerprints of many documents are few: their rows are joined apart, so no task gets a whole large group
-    hot = small(final.where(F.col("n") > HOT))
-    rest = own.join(hot, "fp", "left_anti").join(final.where(F.col("n") <= HOT), "fp")
-    rows = own.join(hot, "fp").unionByName(rest)
+    own, final = _near(docs.select(id_col, text_col), width, id_col, text_col)
+    rows = met(own, final.select("fp", "n", "component_id"), "fp", "n")
     return rows.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, width: int) -> tuple[int, np.ndarray]:
-    """A key of the words (a signed long) and the distinct shingles' XXH64 values, sorted; none without a word."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined, n = b" ".join(words), len(words)
-    key = xxh64_intdigest(joined, SEED + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: max(n - width + 1, min(n, 1))].tolist()
-    stops = ends[min(width, n) - 1 :].tolist() if n else []
-    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    return key - (1 << 64) * (key >> 63), np.unique(h)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words whose hashes a worker remembers, at most.
+WORDS = 500_000
+_words: dict[bytes, int] = {}
 
 
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Every bit of a result depends on every bit of its number."""
+    for factor in _MIX[1:3]:
+        h = (h ^ (h >> _MIX[3])) * factor
+    return h ^ (h >> _MIX[3])
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """BANDS keys (signed longs) of a set of shingles."""
+def shingles(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """A key of the words (a signed long) and the hashes of all shingles in order; none without a word."""
     from xxhash import xxh64_intdigest
 
-    least = np.array([(h * a).min() for a in _ODD], np.uint64).reshape(BANDS, ROWS)
-    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64)
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    key, n = xxh64_intdigest(b" ".join(words), SEED + 1), len(words)
+    if len(_words) > WORDS:
+        _words.clear()
+    for w in set(words).difference(_words):
+        _words[w] = xxh64_intdigest(w, SEED)
+    of = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    count = max(n - width + 1, min(n, 1))
+    h = np.zeros(count, np.uint64)
+    for k in range(min(width, n)):
+        h = (h + of[k : k + count]) * _MIX[0]
+    return key - (1 << 64) * (key >> 63), _mixed(h)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys (signed longs) for each of several lists of shingles, none of them empty."""
+    if not sets:
+        return np.empty((0, BANDS), np.int64)
+    every, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    least = np.stack([np.minimum.reduceat(every * a, starts) for a in _ODD], 1).reshape(len(sets), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS))
+    for k in range(ROWS):
+        keys = _mixed((keys + least[:, :, k]) * _MIX[0])
+    return keys.view(np.int64)
+
+
+def _parts(b: pa.RecordBatch, text_col: str, width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The rows of a batch with their shingles, in parts of about a million shingles."""
+    at, got, size = 0, [], 0
+    for k, t in enumerate(b.column(text_col)):
+        got.append(shingles(t.as_py(), width))
+        size += len(got[-1][1])
+        if size > 1_000_000 or k == b.num_rows - 1:
+            yield b.slice(at, len(got)), got
+            at, got, size = k + 1, [], 0
+
+
+def _signed(docs: DataFrame, width: int, text_col: str) -> DataFrame:
+    """The columns beside the text, key and h, the band keys (none without a word)."""
+    names, types = _passed(docs, text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, got in _parts(b, text_col, width):
+                keys = band_keys([h for _, h in got if len(h)])
+                ends = np.cumsum([0, *(BANDS * (len(h) > 0) for _, h in got)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([k for k, _ in got], pa.int64()), lists], [*names, "key", "h"])
 
-def _keyed(docs: DataFrame, width: int, id_col: str, text_col: str, sets: bool) -> DataFrame:
-    """id, key and the band keys (none without a word); or with `sets` key and the set of shingles."""
+    return docs.mapInArrow(run, f"{types}, key long, h array<long>")
+
+
+def _sets(docs: DataFrame, width: int, text_col: str) -> DataFrame:
+    """key and h, the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [shingles(t.as_py(), width) for t in part.column(1)]
-                lists = [h.view(np.int64) if sets else band_keys(h) if len(h) else h.view(np.int64) for _, h in got]
-                ends = np.cumsum([0, *map(len, lists)])
-                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(lists)))
-                keys = pa.array([k for k, _ in got], pa.int64())
-                lists = lists.cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, lists] if sets else [part.column(0), keys, lists], ["key", "h"] if sets else [id_col, "key", "h"])
+            for _, got in _parts(b, text_col, width):
+                sets = [np.unique(h).view(np.int64) for _, h in got]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), lists], ["key", "h"])
 
-    source = docs.select(id_col, text_col)
-    own = "" if sets else f"`{id_col}` {source.schema[0].dataType.simpleString()}, "
-    return source.mapInArrow(run, own + "key long, h array<long>")
+    return docs.select(text_col).mapInArrow(run, "key long, h array<long>")
 
 
 def _similar(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +262,7 @@ def _similar(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: fl
     return both.where(fits).where(common / (F.size("ha") + F.size("hb") - common) >= similarity).select("a", "b")
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """Links of distinct keys of texts whose sets of shingles have at least the similarity, each in either order: all
     candidate pairs, or for crowded band keys links that join the same texts."""
     at = ["band", "part"]
@@ -221,7 +273,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: fl
     pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), at).where("a < b").select("a", "b")
     pairs = written(pairs.distinct(), "pairs")
     used = small(written(pairs.select("a").union(pairs.select("b")).union(many.select("key")).distinct().toDF("key"), "used"), 500_000)
-    sets = _keyed(docs, width, id_col, text_col, True).join(used, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h"))
+    sets = _sets(docs, width, text_col).join(used, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h"))
     sets = written(sets, "sets")
     found = written(_similar(pairs, sets, sets, similarity), "similar")
     if many.isEmpty():
@@ -246,25 +298,45 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _alike(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    signed = written(_signed(docs, width, text_col), "signatures")
+    tied = components(_ordered(similar_links(docs, signed, width, similarity, text_col)))
+    return signed.drop("h"), _groups(signed, "key", id_col, tied)
+
+
 def similar_copies(docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, component_id (the smallest id reachable over pairs of at least the similarity)."""
-    signed = written(_keyed(docs, width, id_col, text_col, False), "signatures")
-    groups = written(signed.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "groups")
-    tied = components(_ordered(similar_links(docs, signed, width, similarity, id_col, text_col))).withColumnRenamed("node", "key")
-    rooted = written(groups.join(tied, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    # only roots of others need a join: their components have several keys
-    named = rooted.join(tied.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("linked_id"))
-    named = small(written(named, "named"))
-    final = written(rooted.join(named, "root", "left").select("key", "n", F.coalesce("linked_id", "least").alias("component_id")), "final")
-    hot = small(final.where(F.col("n") > HOT))
-    own = signed.select(id_col, "key")
-    return own.join(hot, "key").unionByName(own.join(hot, "key", "left_anti").join(final.where(F.col("n") <= HOT), "key")).select(id_col, "component_id")
+    own, final = _alike(docs.select(id_col, text_col), width, similarity, id_col, text_col)
+    return met(own, final.select("key", "n", "component_id"), "key", "n").select(id_col, "component_id")
+
+
+def _hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes of the whole row, __a and __b."""
+    own = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return [F.xxhash64(*own).alias("__a"), F.xxhash64(F.lit(1), *own).alias("__b")]
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """docs without the rows whose id is not its component's; rows of one id stay together, null ids stay. With a
-    similarity the components are those of `similar_copies`, else those of `near_copies`."""
-    found = near_copies(docs, width, id_col, text_col) if similarity is None else similar_copies(docs, width, similarity, id_col, text_col)
-    found = written(found, "copies")
-    drop = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "drop")
-    return docs.join(small(drop, 500_000), id_col, "left_anti").select(docs.columns)
+    """One row of docs for each component: that with the smallest id (any id before none; ties by a hash of the row). With a
+    similarity the components are those of `similar_copies`, else those of `near_copies`.
+
+    Rows are told apart as a whole: of rows that share an id each stands for its own text, and of rows that are equal in
+    every column one stays. An empty table gives an empty table.
+    """
+    rows = docs.select(id_col, text_col, *_hashes(docs))
+    own, final = _near(rows, width, id_col, text_col) if similarity is None else _alike(rows, width, similarity, id_col, text_col)
+    key = "fp" if similarity is None else "key"
+    several = met(own, final.where("n > 1 or not alone").select(key, "n", "root"), key, "n").select("root", id_col, "__a", "__b")
+    several = written(several, "several")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__a").alias("a"), F.col("__b").alias("b"))
+    best = written(several.groupBy("root").agg(F.min(first).alias("best"), F.count("*").alias("n")), "best")
+    judged = met(several, best, "root", "n").select("__a", "__b", ((F.col("__a") == F.col("best.a")) & (F.col("__b") == F.col("best.b"))).alias("stays"))
+    judged = written(judged.groupBy("__a", "__b", "stays").count(), "judged")
+    drop = judged.where("not stays").select("__a", "__b").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_hashes(docs))
+    left = whole.join(small(drop, 500_000), ["__a", "__b"], "left_anti")
+    again = written(judged.where("stays and count > 1").select("__a", "__b"), "again")
+    if not again.isEmpty():
+        once = whole.join(small(again, 500_000), ["__a", "__b"], "left_semi").groupBy("__a", "__b").agg(F.first("row").alias("row"))
+        left = left.join(small(again, 500_000), ["__a", "__b"], "left_anti").unionByName(once.select(*left.columns))
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))

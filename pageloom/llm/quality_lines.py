@@ -189,7 +189,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    return fit(labelled_sample(docs, labels, "quality", train_docs))
+    return fit([(r.doc_id, r.text, r.y) for r in labelled_sample(docs, labels, "quality", train_docs).collect()])
 
 
 def quality_rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

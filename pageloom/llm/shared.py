@@ -10,44 +10,73 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
+#: Rows of one key from which they are joined apart, at least.
+HOT = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (all in one
+    process) gets a temporary folder; a cluster gets an error, as its machines have no folder in common then."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pageloom-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_dir(spark)}/pageloom/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pageloom/{what}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Removes this application's tables; DataFrames that still read them cannot be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df (already written) with a broadcast hint if its counted rows are few enough, else as it is."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list:
-    """At most `rows` labelled documents, by the order of a hash of their id: (text, label).
+def met(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with a written table of one row for each key, whose column `count` says how many rows have the key.
+
+    Keys of many rows are joined apart: at most BROADCAST_ROWS keys can have more than a BROADCAST_ROWS-th of all rows, so
+    that side may be broadcast, and no task gets a whole large group.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first().n
+    hot = F.col(count) > max(HOT, total // BROADCAST_ROWS)
+    many = F.broadcast(table.where(hot))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(table.where(~hot), key))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text (whole) and y of at most `rows` labelled documents, by the order of a hash of their id.
 
-    The labels are sampled first, so the broadcast side has `rows` rows at most. Training texts are cut to
-    20,000 characters; texts that are scored never are. Rows with a null id, label or text are left out.
+    The labels are sampled first, so the broadcast side has `rows` rows at most. Rows of one id count as one, with the
+    least text and label; rows with a null id, label or text are left out.
     """
     picked = (
         labels.select("doc_id", F.col(label).alias("y"))
         .where("doc_id is not null and y is not null")
-        .groupBy("doc_id").agg(F.min("y").alias("y"))
+        .groupBy("doc_id").agg(F.min("y").cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    got = docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", F.expr("left(text, 20000)").alias("text"), "y")
-    return sorted((r.doc_id, r.text, int(r.y)) for r in got.collect())
+    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))

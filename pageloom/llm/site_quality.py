@@ -5,8 +5,13 @@ model's probabilities give every host a posterior mean that shrinks toward the g
 host one that shrinks toward the host's; the prior strengths are estimated from the spread between hosts and between
 paths (method of moments). A document's verdict adds the path's shift against the global mean to its own logit.
 
-Defined results: a null text counts as empty; null hosts or paths form a site of their own; without both labels in
-the sample the model keeps its start weights; repeated rows count each; an empty table gives an empty table.
+Host and path are two columns of the table, or come from a column of addresses by `site_of`. Documents have no address,
+so the registered query takes their source as host and their language as path below it.
+
+Defined results: a null text counts as empty, and a text of any length is read whole; null hosts or paths form a site of
+their own; equal texts of a site get equal verdicts, and a probability of exactly KEEP is kept; without both labels in
+the sample the model keeps its start weights; repeated rows count each; an empty table gives an empty table; extra
+columns of any name do not clash.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import labelled_sample, small, written
+from pageloom.llm.shared import BROADCAST_ROWS, labelled_sample, met, written
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 2000
@@ -24,8 +29,6 @@ SITE_WEIGHT, KEEP = 0.5, 0.35
 #: Least and greatest prior strength, in documents.
 STRENGTH = (5.0, 1000.0)
 
-
-
 #: The characters that features count.
 _SYMBOLS, _BARS, _SHOUTS, _DIGITS, _CAPITALS = "#*$%&<>", "|", "!?", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÑÓÇÊÍ"
 
@@ -66,7 +69,14 @@ def features() -> list[Column]:
 START = (0.5, 0.0, -6.0, -4.0, -4.0, -1.0, -4.0, 0.0, 2.0, 0.0)
 
 
-def fit(rows: list[tuple[list[float], int]], rounds: int = 400) -> list[float]:
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, without user, port and www.) and path (the first part of several) of an address; null for none."""
+    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_extract(F.lower(rest), r"^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)
+    return host, F.regexp_extract(rest, r"^[^/?#]*/([^/?#]+)/", 1)
+
+
+def fit(rows: list[tuple[list[float], int]]) -> list[float]:
     """Class-balanced logistic regression by Newton steps with a ridge toward START."""
     w0 = np.array(START)
     y = np.array([y for _, y in rows])
@@ -83,11 +93,10 @@ def fit(rows: list[tuple[list[float], int]], rounds: int = 400) -> list[float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> list[float]:
-    spark = docs.sparkSession
+    """The weights of the document model. Features are computed where the texts are; the driver gets numbers only."""
     sample = labelled_sample(docs, labels, "quality", train_docs)
-    frame = spark.createDataFrame([(t, y) for _, t, y in sample], "text string, y int") if sample else spark.createDataFrame([], "text string, y int")
-    rows = measured(frame.withColumnRenamed("text", "t")).select(F.array(*(f.cast("double") for f in features())).alias("f"), "y")
-    return fit([(list(r.f), r.y) for r in rows.collect()])
+    rows = measured(sample.select("y", "doc_id", F.col("text").alias("t"))).select("doc_id", F.array(*(f.cast("double") for f in features())).alias("f"), "y")
+    return fit([(list(r.f), r.y) for r in sorted(rows.collect(), key=lambda r: r.doc_id)])
 
 
 def evidence(weights: list[float]) -> Column:
@@ -99,53 +108,69 @@ def evidence(weights: list[float]) -> Column:
 
 
 def posteriors(scored: DataFrame, host: str, path: str, p: str) -> DataFrame:
-    """host, path, shift: the path's posterior logit less the global one. Sums are combined before the shuffle."""
+    """h, q (host and path), n (documents) and shift: the path's posterior logit less the global one. Sums are combined
+    before the shuffle."""
     paths = written(scored.groupBy(F.col(host).alias("h"), F.col(path).alias("q")).agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths")
     hosts = paths.groupBy(F.col("h").alias("hh")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
 
-    def strength(rows: DataFrame, n: str, s: str, center: Column) -> Column:
-        """Prior strength from the variance between groups beyond what binomial noise explains."""
-        between = F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - center, 2)) / F.sum(n)
-        return between
+    def spread(n: str, s: str, center: Column) -> Column:
+        """The variance of the groups' means around their center, by size."""
+        return F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - center, 2)) / F.sum(n)
 
     total = hosts.agg(F.sum("hn").alias("tn"), F.sum("hs").alias("ts"), F.count("*").alias("groups")).select("tn", "groups", (F.col("ts") / F.col("tn")).alias("m")).first()
     if total.m is None:
-        return paths.select("h", "q", F.lit(0.0).alias("shift"))
+        return paths.select("h", "q", "n", F.lit(0.0).alias("shift"))
     m = min(max(total.m, 1e-4), 1 - 1e-4)
 
-    def prior(between: float | None, groups: int, n: int) -> float:
+    def strength(between: float | None, groups: int, n: int) -> float:
+        """Prior strength, in documents, from the variance between groups beyond what binomial noise explains."""
         noise = m * (1 - m) * groups / n
-        spread = max((between or 0.0) - noise, 1e-9)
-        return min(max(m * (1 - m) / spread - 1, STRENGTH[0]), STRENGTH[1])
+        return min(max(m * (1 - m) / max((between or 0.0) - noise, 1e-9) - 1, STRENGTH[0]), STRENGTH[1])
 
-    k_host = prior(hosts.agg(strength(hosts, "hn", "hs", F.lit(m)).alias("v")).first().v, total.groups, total.tn)
+    k_host = strength(hosts.agg(spread("hn", "hs", F.lit(m)).alias("v")).first().v, total.groups, total.tn)
     both = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).select("h", "q", "n", "s", "hn", "hs")
-    among = both.agg(strength(both, "n", "s", F.col("hs") / F.col("hn")).alias("v"), F.count("*").alias("groups")).first()
-    k_path = prior(among.v, among.groups, total.tn)
+    among = both.agg(spread("n", "s", F.col("hs") / F.col("hn")).alias("v"), F.count("*").alias("groups")).first()
+    k_path = strength(among.v, among.groups, total.tn)
     host_mean = (F.col("hs") + F.lit(k_host * m)) / (F.col("hn") + F.lit(k_host))
     path_mean = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("s") + F.lit(k_path) * host_mean) / (F.col("n") + F.lit(k_path))))
-    return both.select("h", "q", (F.log(path_mean / (1 - path_mean)) - F.lit(float(np.log(m / (1 - m))))).alias("shift"))
+    return both.select("h", "q", "n", (F.log(path_mean / (1 - path_mean)) - F.lit(float(np.log(m / (1 - m))))).alias("shift"))
 
 
-def _judged(docs: DataFrame, weights: list[float], keep_cols: list[str], host: str, path: str, text: str) -> DataFrame:
-    """row (a struct of keep_cols), host, path, logit, shift and p of each row."""
+def _own(docs: DataFrame, weights: list[float], keep_cols: list[str], site: tuple[Column, Column], text: str) -> DataFrame:
+    """row (a struct of keep_cols), host, path and logit of each row."""
     # the row travels as one struct, so its columns cannot clash with those made here
-    own = docs.select(F.struct(*keep_cols).alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("t"))
-    own = measured(own).select("row", "host", "path", evidence(weights).alias("logit"))
-    scored = own.select("host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
-    sites = small(written(posteriors(scored, "host", "path", "p").toDF("site_host", "site_path", "site_shift"), "sites"))
-    joined = own.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
+    own = docs.select(F.struct(*keep_cols).alias("row"), site[0].alias("host"), site[1].alias("path"), F.col(text).alias("t"))
+    return measured(own).select("row", "host", "path", evidence(weights).alias("logit"))
+
+
+def _judged(own: DataFrame, scored: DataFrame) -> DataFrame:
+    """own with shift and p; the sites' posteriors come from scored (host, path, logit)."""
+    scored = scored.select("host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
+    sites = written(posteriors(scored, "host", "path", "p").select(_site_key("h", "q"), F.col("n").alias("site_n"), F.col("shift").alias("site_shift")), "sites")
+    keyed = own.withColumn("site", _site_key("host", "path"))
+    joined = keyed.join(F.broadcast(sites), "site") if sites.count() <= BROADCAST_ROWS else met(keyed, sites, "site", "site_n")
     shifted = joined.withColumn("shift", F.coalesce("site_shift", F.lit(0.0)))
     return shifted.withColumn("p", 1 / (1 + F.exp(-(F.col("logit") + F.lit(SITE_WEIGHT) * F.col("shift")))))
 
 
-def site_quality(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, host, path, evidence, site_shift, quality (probability), kept."""
-    out = _judged(docs, weights, [id_col], host, path, text)
+def _site_key(host: str, path: str) -> Column:
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat(F.length(part(host)).cast("string"), part(host), part(path)).alias("site")
+
+
+def _site(host: str, path: str, url: str | None) -> tuple[Column, Column]:
+    return site_of(F.col(url)) if url else (F.col(host), F.col(path))
+
+
+def site_quality(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", id_col: str = "doc_id", text: str = "text", url: str | None = None) -> DataFrame:
+    """id, host, path, evidence, site_shift, quality (probability), kept. Texts are read once: logits are written, and
+    only they meet the sites."""
+    own = written(_own(docs, weights, [id_col], _site(host, path, url), text), "logits")
+    out = _judged(own, own)
     return out.select(F.col("row")[id_col].alias(id_col), "host", "path", F.col("logit").alias("evidence"), F.col("shift").alias("site_shift"), F.col("p").alias("quality"), (F.col("p") >= KEEP).alias("kept"))
 
 
-def keep_good(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, weights: list[float], host: str = "source", path: str = "lang", text: str = "text", url: str | None = None) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    good = _judged(docs, weights, docs.columns, host, path, text).where(F.col("p") >= KEEP)
-    return good.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    own = _own(docs, weights, docs.columns, _site(host, path, url), text)
+    return _judged(own, own).where(F.col("p") >= KEEP).select(*(F.col("row")[c].alias(c) for c in docs.columns))

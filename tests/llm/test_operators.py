@@ -110,8 +110,19 @@ def test_mixing(spark, docs, none):
     for r in out.collect():
         have[(r.doc_id, r.text)] = have.get((r.doc_id, r.text), 0) + 1
     assert have == {k: v for k, v in want.items() if v}
-    given = mixing.mix(docs, {"s1": 1.0}).select("source").distinct().collect()
-    assert [r.source for r in given] == ["s1"]
+    given = {r["__s"]: r["__rate"] for r in mixing.rates(docs, {"s1": 3.0, "s2": 1.0, "s3": 0.0}, growth=2.0).collect()}
+    sizes = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    named = sizes["s1"] + sizes["s2"] + sizes["s3"]
+    assert given["s3"] == 0 and given["s0"] == given[None] == 2.0 and abs(given["s1"] * sizes["s1"] - 2 * named * 0.75) < 1e-6
+    assert {r["__rate"] for r in mixing.rates(docs, {}).collect()} == {1.0}
+
+
+def test_mixing_names_and_order(spark):
+    df = spark.createDataFrame([(k, "t" * (k % 3 * 40_000), "a", "x", "y") for k in range(300)], "doc_id long, text string, source string, __order string, __COPY string")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "___copy", "__copies", "___order"]
+    got = [(r["___order"], r["___copy"]) for r in out.select("___order", "___copy").collect()]
+    assert got == sorted(got) and len(got) > 200
 
 
 def test_mixing_high_rates(spark):
@@ -336,6 +347,61 @@ def test_site_quality(spark, docs, none, labels):
     assert site_quality.keep_good(docs, weights).columns == docs.columns
 
 
+def test_site_posteriors_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, h, q, min(0.99, max(0.01, rng.gauss(0.2 + 0.15 * h + 0.05 * q, 0.1)))) for k in range(600) for h, q in [(rng.choice((0, 0, 0, 1, 2, 3)), rng.randrange(3))]]
+    rows = [(k, None if h == 3 else f"h{h}", None if q == 2 else f"q{q}", p) for k, h, q, p in rows]
+    got = {(r.h, r.q): (r.n, r["shift"]) for r in site_quality.posteriors(spark.createDataFrame(rows, "k int, h string, q string, p double"), "h", "q", "p").collect()}
+    n, m = len(rows), sum(r[3] for r in rows) / len(rows)
+    of = lambda *c: {k: [r[3] for r in rows if tuple(r[i] for i in c) == k] for k in {tuple(r[i] for i in c) for r in rows}}
+    hosts, paths = of(1), of(1, 2)
+
+    def strength(groups, center):
+        between = sum(len(v) * (np.mean(v) - center(k)) ** 2 for k, v in groups.items()) / n
+        return min(max(m * (1 - m) / max(between - m * (1 - m) * len(groups) / n, 1e-9) - 1, 5.0), 1000.0)
+
+    kh, kp = strength(hosts, lambda k: m), strength(paths, lambda k: np.mean(hosts[k[:1]]))
+    for k, v in paths.items():
+        host = (sum(hosts[k[:1]]) + kh * m) / (len(hosts[k[:1]]) + kh)
+        mean = (sum(v) + kp * host) / (len(v) + kp)
+        assert got[k][0] == len(v) and np.isclose(got[k][1], np.log(mean / (1 - mean)) - np.log(m / (1 - m)))
+    # verdicts: own evidence plus the site's shift; both ways of the join, hosts and paths by address
+    texts = ["the old house by the river was sold in the spring of that year", "### $$$ %%% &&& ###", "", None, "A B C !!! !!!"]
+    docs = spark.createDataFrame([(k, texts[k % 5], f"https://WWW.Site{k % 4}.example.org:80/{'abc'[k % 3]}/p{k}?q=/z/" if k % 7 else None, "x", "y") for k in range(80)], "doc_id long, text string, url string, site string, row string")
+    weights = list(site_quality.START)
+    first = site_quality.site_quality(docs, weights, url="url").collect()
+    assert {r.host for r in first} == {None, *(f"site{k}.example.org" for k in range(4))} and {r.path for r in first} == {None, "a", "b", "c"}
+    logit = {r.text: r.v for r in site_quality.measured(docs.select("text", F.col("text").alias("t"))).select("text", site_quality.evidence(weights).alias("v")).collect()}
+    shift = {(r.h, r.q): r["shift"] for r in site_quality.posteriors(spark.createDataFrame([(r.host, r.path, float(1 / (1 + np.exp(-r.evidence)))) for r in first], "h string, q string, p double"), "h", "q", "p").collect()}
+    for r in first:
+        assert np.isclose(r.evidence, logit[texts[r.doc_id % 5]]) and np.isclose(r.site_shift, shift[r.host, r.path])
+        assert np.isclose(r.quality, 1 / (1 + np.exp(-(r.evidence + site_quality.SITE_WEIGHT * r.site_shift)))) and r.kept == (r.quality >= site_quality.KEEP)
+    monkeypatch.setattr(site_quality, "BROADCAST_ROWS", 0)
+    assert key(site_quality.site_quality(docs, weights, url="url").collect()) == key(first)
+    assert {r.doc_id for r in site_quality.keep_good(docs, weights, url="url").collect()} == {r.doc_id for r in first if r.kept}
+
+
+def test_features_by_brute_force(spark):
+    texts = [PROSE, "# $ % 12 AB !? |", "", "x", "Ünï Äß\t\nyes yes yes " * 9]
+    got = site_quality.measured(spark.createDataFrame([(t,) for t in texts], "t string").withColumn("key", F.col("t"))).select("key", F.array(*(f.cast("double") for f in site_quality.features())).alias("f")).collect()
+    for r in got:
+        t, words = r.key, [w for w in re.split("[ \t-\r]+", r.key) if w]
+        n, d, c = max(len(words), 1), len(set(words)), max(len(t), 1)
+        share = lambda of, x=1.0: min(1.0, sum(t.count(s) for s in of) / c * x)
+        want = [min(1, np.log(n + 1) / 8), share(site_quality._SYMBOLS, 5), share("|", 10), share("!?", 5), share("0123456789", 3), share(site_quality._CAPITALS, 1.5), d / n, np.log(d + 1) / np.log(n + 1) if n > 20 else 1.0, min(1, c / n / 20)]
+        assert np.allclose(r.f, want), t
+
+
+def test_labelled_sample_is_bounded(spark):
+    from pageloom.llm.shared import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"copy {k}", 0) for k in range(500)] + [(k, "w" * 30_000, 0) for k in range(2, 9)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 4).collect()
+    assert len(got) <= 4 and len({r.doc_id for r in labelled_sample(docs, labels, "quality", 100).collect()}) == 8
+    assert all(len(r.text) == 30_000 for r in got if r.doc_id != 1)
+
+
 # 7
 
 
@@ -355,7 +421,7 @@ def brute_components(fps):
 
 
 def test_fingerprints_and_components(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(near_copies, "HOT", 2)  # both ways of the last join
+    monkeypatch.setattr("pageloom.llm.shared.HOT", 2)  # both ways of the last join
     got = near_copies.near_copies(docs).collect()
     fps = {}
     for r in got:
@@ -370,7 +436,26 @@ def test_fingerprints_and_components(spark, docs, none, monkeypatch):
         assert r.component_id == min(least[roots[int(r.fingerprint, 16)]], default=None)
     assert near_copies.near_copies(none).count() == 0
     left = near_copies.one_of_each(docs)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect() if r.doc_id is not None} == {r.component_id for r in got if r.component_id is not None}
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({r.component_id for r in got})
+    rows = [(1, "P", 0), (2, "P", 0), (2, "Q", 0), (3, "R", 1), (3, "R", 1), (None, "S", 2), (None, "S", 3), (4, "P", 0), (None, "R", 1), (5, PROSE * 40, 1), (6, PROSE * 40, 2)]
+    some = spark.createDataFrame([(*r, "x", {"k": r[2]}) for r in rows], "doc_id long, text string, n int, __a string, root map<string,int>")
+    for how in ({}, {"similarity": 0.8, "width": 5}):
+        once = near_copies.one_of_each(some, **how)
+        assert key([(r.doc_id, r.text[:1]) for r in once.collect()]) == key([(1, "P"), (2, "Q"), (3, "R"), (None, "S"), (5, "T")]) and once.columns == some.columns
+
+
+def brute_fingerprint(t):
+    import xxhash
+
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), t or ""))
+    grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint(docs):
+    for _, t in texts_of(docs):
+        assert near_copies.fingerprint(t) == brute_fingerprint(t)
 
 
 def test_copies_by_similarity(spark, none, monkeypatch):
