@@ -1,10 +1,13 @@
 """Token counts: dynamic programming over prefixes gives the exact count at every prefix of a text.
 
-`token_counts` returns per document the count of the whole text and the longest prefix within a budget;
-`prefix_counts` stores the whole table, from which `within_budget` and `count_at` answer without encoding again.
-
-Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows are counted each; an empty table
-gives an empty table; columns other than id and text are not read.
+`token_counts` fills the table of each text at the ends of its pieces; its last entry is the count of the whole text,
+and the longest prefix within a budget is found in it. `prefix_counts` returns the table at every character, from which
+`within_budget` and `count_at` answer without encoding again. The longest prefix is the same everywhere: the most
+characters k such that the first k have at most so many tokens (more characters can have fewer tokens).
+
+Defined results: a null text counts as empty (0 tokens, 0 bytes); texts and words of any length are counted whole, in
+time linear in them; repeated rows and equal texts get equal counts; an empty table gives an empty table; columns other
+than id and text are not read, so extra columns of any name do not clash.
 """
 
 from __future__ import annotations
@@ -61,6 +64,5 @@ def count_at(prefix_tokens: Column, chars: int) -> Column:
 
 
 def within_budget(prefix_tokens: Column, budget: int) -> Column:
-    """Characters before the first prefix that has more than `budget` tokens."""
-    over = F.array_position(F.transform(prefix_tokens, lambda c: c > budget), True)
-    return F.when(over == 0, F.size(prefix_tokens) - 1).otherwise(over - 2)
+    """The most characters whose prefix has at most `budget` tokens (0 or more)."""
+    return F.size(prefix_tokens) - F.array_position(F.reverse(F.transform(prefix_tokens, lambda c: c <= budget)), True)

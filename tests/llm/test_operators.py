@@ -211,7 +211,33 @@ def test_token_counts(spark, docs, none):
     table = token_counts.prefix_counts(some, path)
     for r in table.select(token_counts.count_at(F.col("prefix_tokens"), 7).alias("c"), token_counts.within_budget(F.col("prefix_tokens"), 3).alias("w"), "prefix_tokens").collect():
         p = r.prefix_tokens
-        assert r.c == p[min(7, len(p) - 1)] and r.w == next((k - 1 for k, c in enumerate(p) if c > 3), len(p) - 1)
+        assert r.c == p[min(7, len(p) - 1)] and r.w == max(k for k, c in enumerate(p) if c <= 3)
+    fit = {(r.doc_id, r.n_bytes): r.fit_chars for r in got}
+    for i, t in texts_of(docs):
+        if len(t) < 3000:
+            assert fit[i, len(t.encode())] == max(k for k in range(len(t) + 1) if n(t[:k]) <= 20)
+
+
+def test_prefixes_of_mixed_scripts():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    lib, model, rng = Tokenizer.from_file(path), WordBpe(path), random.Random(1)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    letters = "abcdefghij'stdmrlvé ÉßüÑ  \n\t.,!#_0129-🙂中́İΣς字日本語кириллицаابعदेа́ <|endoftext|>ﬁ½²\ua7cb\u200d"
+    words = "the running internationalisation ththththth xxxxxxxxx größenwahn don't we'll it's ''s !'s n't 中文字符 привет हिन्दी <|endoftext|> a<|endoftext|>b".split()
+    for k in range(800):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) if k % 2 else rng.choice([" ", "", "  "]).join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        want = [n(t[:k]) for k in range(len(t) + 1)]
+        assert model.every_prefix(t) == want and model.count(t) == want[-1], t
+        for budget in (0, 1, 3, 7):
+            assert model.longest_prefix(t, budget) == max(k for k, c in enumerate(want) if c <= budget), t
+    for word in ("x" * 8000, "".join(rng.choice("abcdefgh") for _ in range(8000)), "中" * 4000, "ab-" * 2000):
+        began = time.time()
+        got = model.every_prefix(word)
+        assert time.time() - began < 2 and got[-1] == n(word) and got[777] == n(word[:777])
 
 
 def test_pieces_have_the_librarys_ids():
@@ -468,6 +494,12 @@ def test_copies_by_similarity(spark, none, monkeypatch):
             for _ in range(rng.randint(0, len(words) // 20)):
                 edited[rng.randrange(len(edited))] = f"e{rng.randrange(5000)}"
             texts.append(" ".join(edited))
+    for words in base[:4]:  # chains of edits, whose ends are far from each other
+        for _ in range(25):
+            words = list(words)
+            for _ in range(len(words) // 60 + 1):
+                words[rng.randrange(len(words))] = f"c{rng.randrange(5000)}"
+            texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
     def sets(t):
@@ -480,8 +512,8 @@ def test_copies_by_similarity(spark, none, monkeypatch):
         if of[a] == of[b] == set() or (of[a] and len(of[a] & of[b]) / len(of[a] | of[b]) >= 0.8):
             root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
     assert len(set(root)) < len({near_copies.fingerprint(t) for t in texts})
-    for bucket in (near_copies.BUCKET, 3):
-        monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    for pairs in (near_copies.PAIRS, 2):  # also with centres dealt out to several tasks
+        monkeypatch.setattr(near_copies, "PAIRS", pairs)
         got = {r.doc_id: r.component_id for r in near_copies.similar_copies(df, 5, 0.8).collect()}
         assert [got[k] for k in range(len(texts))] == root
     assert {r.doc_id for r in near_copies.one_of_each(df, 5, similarity=0.8).collect()} == set(root)
