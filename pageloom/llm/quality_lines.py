@@ -3,10 +3,17 @@
 `line_labels` decodes every line of a text with Viterbi; `quality_rules` adds the counts of the base rule and
 keeps a document if it passes the base rule and enough of its words stand in content lines.
 
-Defined results: a null text counts as empty; an empty text has no words and fails the base rule; a document
+Documents are labelled, lines are not. A line of a good document starts as content, unless the corpus shows it to be
+boilerplate: it stands between different lines in SPREAD places or more (copies of a document repeat a line's
+neighbours, too, so they do not count). Lines of a bad document start as boilerplate; then each is judged by its own
+features and the field is fitted again, so that those that read like content become content and labels change inside
+documents. The fit maximises the pseudo-likelihood, which needs no recursion over lines.
+
+Defined results: a null text counts as empty; an empty text has no words and fails the base rule; texts and lines of any
+length are read whole, in training, too; ties go to content, and a share of exactly CONTENT_SHARE is kept; a document
 without a label in training is still scored; an empty or missing training sample leaves the start weights, which
-mark symbol-heavy, repeated and table lines as boilerplate. Repeated rows are scored independently. Only the id
-and text columns are read, so further columns of any name do not clash.
+mark symbol-heavy, repeated and table lines as boilerplate. Repeated rows are scored alike. An empty table gives an empty
+table. Only the id and text columns are read, so further columns of any name do not clash.
 """
 
 from __future__ import annotations
@@ -17,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pageloom.llm.shared import labelled_sample
+from pageloom.llm.shared import labelled_sample, small, written
 
 #: Labelled documents that the field is fitted on, at most.
 TRAIN_DOCS = 2000
-#: Lines of one training document that are used, at most (training only).
-TRAIN_LINES = 40
+#: Different surroundings from which a line is boilerplate in training.
+SPREAD = 5
 #: A document is kept if at least this share of its words stands in content lines.
 CONTENT_SHARE = 0.35
 SYMBOLS = "#*$%&|<>"
@@ -32,9 +40,11 @@ _SPACES = " \t\n\v\f\r"
 _DROP_SPACES = str.maketrans("", "", _SPACES)
 
 FEATURES = ("bias", "words_1_2", "words_3_7", "words_20", "sentence_end", "bars", "symbols", "many_symbols", "upper", "shout", "digits", "run", "few_distinct", "repeated_line")
-#: Weights of (content, boilerplate) before fitting; used alone when there is no labelled document.
-START = np.zeros((len(FEATURES), 2))
-START[0, 0], START[[5, 7, 8, 9, 11, 12, 13], 1] = 1.0, 2.0
+#: Weights for boilerplate before fitting, and how much two neighbours agree; used alone when there is no labelled document.
+START, AGREE = np.zeros(len(FEATURES)), 0.5
+START[0], START[[5, 7, 8, 9, 11, 12, 13]] = -1.0, 2.0
+#: Rounds of fitting and decoding, and how strongly weights are held to those at the start.
+ROUNDS, RIDGE = 3, 30.0
 
 
 def line_features(words: list[str], line: str, repeated: bool) -> list[int]:
@@ -102,50 +112,55 @@ def viterbi(scores: np.ndarray, steps: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def fit(sample: list, rounds: int = 80, rate: float = 0.3, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood weights by forward-backward and gradient steps; sample: (id, text, quality).
-
-    A line takes the label of its document (quality 1: content), as lines themselves have no labels.
-    """
-    seqs = [([f for _, _, f in lines_of(t)][:TRAIN_LINES], 1 - y) for _, t, y in sample]
-    seqs = [(f, y) for f, y in seqs if f]
-    weights, steps = START.copy(), np.array([[0.5, -0.5], [-0.5, 0.5]])
-    if not seqs or len({y for _, y in seqs}) < 2:
-        return weights, steps
-    n, length = len(seqs), max(len(f) for f, _ in seqs)
-    x, mask = np.zeros((n, length, len(FEATURES))), np.zeros((n, length))
-    y = np.array([y for _, y in seqs])
-    for i, (fs, _) in enumerate(seqs):
-        for j, f in enumerate(fs):
-            x[i, j, f], mask[i, j] = 1, 1
-    share = np.bincount(y, minlength=2) / n
-    importance = (0.5 / share)[y][:, None] * mask
-    total = mask.sum()
-    gold = np.eye(2)[y][:, None, :] * mask[:, :, None]
-
-    def log_sum(v: np.ndarray, axis: int) -> np.ndarray:
-        top = v.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(v - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
+def decoded(on: list[list[int]], model: tuple[np.ndarray, float]) -> list[int]:
+    """The labels (0 content, 1 boilerplate) of lines with these active features."""
+    weights, agree = model
+    scores = np.zeros((len(on), 2))
+    scores[:, 1] = [weights[f].sum() for f in on]
+    return viterbi(scores, np.array([[agree, 0.0], [0.0, agree]]))
+
+
+def pseudo_likelihood(seqs: list[list[list[int]]], labels: list[list[int]], important: list[float]) -> tuple[np.ndarray, float]:
+    """Weights and agreement that make each line's label likeliest given its features and its neighbours' labels."""
+    sizes = np.array([len(s) for s in seqs])
+    every = [f for s in seqs for f in s]
+    x = np.zeros((len(every), len(FEATURES) + 1))
+    x[np.repeat(np.arange(len(every)), [len(f) for f in every]), np.concatenate(every)] = 1
+    z = np.concatenate(labels).astype(float)
+    ends = np.cumsum(sizes)
+    inner = np.ones(len(z) - 1, bool)
+    inner[ends[:-1] - 1] = False
+    side = 2 * z - 1
+    x[1:, -1] += np.where(inner, side[:-1], 0)
+    x[:-1, -1] += np.where(inner, side[1:], 0)
+    weight = np.repeat(important, sizes)
+    prior = np.append(START, AGREE)
+    w = prior.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (z - p)) - RIDGE * (w - prior))
+        w = w + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+    return w[:-1], max(float(w[-1]), 0.0)
+
+
+def fit(sample: list[tuple[list[list[int]], list[int], int]], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(weights, agreement) for documents given as (features of the lines, whether each is spread, quality)."""
+    sample = [x for x in sample if x[0]]
+    model = START.copy(), AGREE
+    if len({y for _, _, y in sample}) < 2:
+        return model
+    seqs = [on for on, _, _ in sample]
+    labels = [[1] * len(on) if not y else list(map(int, spread)) for on, spread, y in sample]
+    good = sum(y for _, _, y in sample)
+    # good and bad documents weigh alike, and so do a document's lines together and another's
+    important = [100 / max(len(on), 1) * (0.5 / (good if y else len(sample) - good)) * 10 for on, _, y in sample]
     for _ in range(rounds):
-        s = x @ weights
-        fwd, bwd = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-        fwd[:, 0] = s[:, 0]
-        for j in range(1, length):
-            new = log_sum(fwd[:, j - 1, :, None] + steps[None], 1) + s[:, j]
-            fwd[:, j] = np.where(mask[:, j, None] > 0, new, fwd[:, j - 1])
-        for j in range(length - 2, -1, -1):
-            new = log_sum(steps[None] + (s[:, j + 1] + bwd[:, j + 1])[:, None, :], 2)
-            bwd[:, j] = np.where(mask[:, j + 1, None] > 0, new, bwd[:, j])
-        z = log_sum(fwd[:, -1], 1)
-        node = np.exp(fwd + bwd - z[:, None, None]) * mask[:, :, None]
-        grad = np.einsum("ijf,ijk->fk", x, (gold - node) * importance[:, :, None]) / total
-        pair = np.exp(fwd[:, :-1, :, None] + steps + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        both = importance[:, 1:, None, None]
-        seen = gold[:, :-1, :, None] * gold[:, 1:, None, :]
-        weights += rate * 10 * (grad - ridge * weights)
-        steps = steps + rate * (((seen - pair) * both).sum((0, 1)) / total - ridge * steps)
-    return weights, steps
+        model = pseudo_likelihood(seqs, labels, important)
+        for k, (on, spread, y) in enumerate(sample):
+            if not y:
+                new = [int(a or b) for a, b in zip(decoded(on, (model[0], 0.0)), spread, strict=True)]
+                labels[k] = new if any(new) else [1] * len(on)
+    return model
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -173,14 +188,13 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text.translate(_DROP_SPACES)), len(_NOT_SYMBOL.sub("", text)), dup, repeat
 
 
-def judge(text: str | None, weights: np.ndarray, steps: np.ndarray, share: float = CONTENT_SHARE) -> tuple:
+def judge(text: str | None, model: tuple[np.ndarray, float], share: float = CONTENT_SHARE) -> tuple:
     """The output row of one text, without its id."""
     text = text or ""
     n, chars, symbols, dup, repeat = base_counts(text)
     failed = n < 50 or 100 * repeat > 50 * n
     found = lines_of(text)
-    scores = np.array([weights[f].sum(0) for _, _, f in found]).reshape(-1, 2)
-    labels = viterbi(scores, steps)
+    labels = decoded([f for _, _, f in found], model)
     content = sum(len(w) for (_, w, _), k in zip(found, labels, strict=True) if not k)
     return n, chars, symbols, dup, repeat, failed, not failed and content >= share * n, len(found), sum(labels), content
 
@@ -188,17 +202,47 @@ def judge(text: str | None, weights: np.ndarray, steps: np.ndarray, share: float
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_boilerplate_lines long, n_content_words long"
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    return fit([(r.doc_id, r.text, r.y) for r in labelled_sample(docs, labels, "quality", train_docs).collect()])
+def spread_lines(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, line_no of the sample's lines that stand in SPREAD or more different surroundings in all documents."""
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    # the outer form keeps Spark from splitting a second time in a filter on the number of lines
+    own = sample.select("doc_id", F.posexplode_outer(lines).alias("line_no", "line")).where(F.col("line").rlike("[^ \\t-\\r]")).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
+    own = written(own, "lines")
+    asked = small(written(own.select("h").distinct(), "asked"))
+    at = lambda v, i: F.coalesce(F.get(v, i), F.lit(""))
+    around = F.transform("lines", lambda line, i: F.struct(F.xxhash64(line).alias("h"), F.xxhash64(at(F.col("lines"), i - 1), at(F.col("lines"), i + 1)).alias("around")))
+    every = docs.select(lines.alias("lines")).select(F.explode_outer(around).alias("x")).select("x.h", "x.around")
+    many = every.join(asked, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= SPREAD)
+    return own.join(small(written(many.select("h"), "spread")), "h", "left_semi").select("doc_id", "line_no")
+
 
+def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+    """The field fitted on at most `train_docs` labelled documents. Features are made where the texts are; the driver gets
+    numbers only."""
 
-def quality_rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                found = lines_of(b.column(1)[k].as_py())
+                masks = [sum(1 << j for j in f) for _, _, f in found]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(2).slice(k, 1), pa.array([[n for n, _, _ in found]], pa.list_(pa.int32())), pa.array([masks], pa.list_(pa.int32()))], ["doc_id", "y", "at", "masks"])
+
+    sample = written(labelled_sample(docs, labels, "quality", train_docs), "sample")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, at array<int>, masks array<int>").collect()
+    spread: dict = {}
+    for r in spread_lines(docs.select("doc_id", "text"), sample).collect():
+        spread.setdefault(r.doc_id, set()).add(r.line_no)
+    on = lambda mask: [j for j in range(len(FEATURES)) if mask >> j & 1]
+    return fit([([on(m) for m in r.masks], [k in spread.get(r.doc_id, ()) for k in r["at"]], r.y) for r in sorted(rows, key=lambda r: r.doc_id)])
+
+
+def quality_rules(docs: DataFrame, model: tuple[np.ndarray, float], share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the base counts, the verdicts and how many lines and words are content."""
-    weights, steps = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [judge(t, weights, steps, share) for t in b.column(1).to_pylist()]
+            rows = [judge(t, model, share) for t in b.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 10
             kinds = [pa.bool_() if k in (5, 6) else pa.int64() for k in range(10)]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_boilerplate_lines", "n_content_words"]
@@ -208,15 +252,14 @@ def quality_rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share:
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, {SCHEMA}")
 
 
-def line_labels(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_labels(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with a word: id, line_no, line, is_content."""
-    weights, steps = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 found, lines = lines_of(text or ""), (text or "").split("\n")
-                labels = viterbi(np.array([weights[f].sum(0) for _, _, f in found]).reshape(-1, 2), steps)
+                labels = decoded([f for _, _, f in found], model)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), b.schema[0].type), pa.array([k for k, _, _ in found], pa.int64()), pa.array([lines[k] for k, _, _ in found], pa.string()), pa.array([not k for k in labels], pa.bool_())], [id_col, "line_no", "line", "is_content"])
 

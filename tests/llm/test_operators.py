@@ -77,6 +77,51 @@ def test_line_quality(spark, docs, none, labels):
     assert quality_lines.fitted(none, labels)[0].shape == quality_lines.START.shape
 
 
+def test_verdicts_by_brute_force(spark):
+    """Every label sequence of short texts is tried."""
+    rng = random.Random(3)
+    kinds = ["the old house stood by the river and nobody knew who had built it there.", "HOME | NEWS | ABOUT", "BUY NOW!! HURRY!! WIN!! BIG!!", "### $$$ %%%", "ja", "", "a a a a a a a a b", "12 34 56 x"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["\n".join([kinds[0]] * 2 + [f"{k} {kinds[0]}" for k in range(5)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = np.random.default_rng(2).normal(size=len(quality_lines.FEATURES)), 0.7
+    for r in quality_lines.quality_rules(df, model).collect():
+        lines, seen, on, sizes = texts[r.doc_id].split("\n"), set(), [], []
+        for line in lines:
+            if line.split():
+                on.append(quality_lines.line_features(line.split(), line, line in seen))
+                sizes.append(len(line.split()))
+                seen.add(line)
+        n = len(on)
+        value = lambda y: sum(model[0][f].sum() for i, f in enumerate(on) if y >> i & 1) + sum(0.7 for i in range(n - 1) if (y >> i & 1) == (y >> i + 1 & 1))  # noqa: B023, E731
+        best = max(range(1 << n), key=value)
+        content = sum(w for i, w in enumerate(sizes) if not best >> i & 1)
+        assert (r.n_lines, r.n_boilerplate_lines, r.n_content_words) == (n, best.bit_count(), content)
+        assert r.kept == (not r.base_failed and content >= quality_lines.CONTENT_SHARE * sum(sizes))
+
+
+def test_spread_lines_and_fit(spark):
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice("the old house by river was sold in spring of that year and nobody came".split()) for _ in range(rng.randint(9, 30))) + "."
+    texts = [[prose() for _ in range(rng.randint(2, 6))] for _ in range(40)]
+    for k, t in enumerate(texts):
+        if k % 3 == 0:
+            t.insert(rng.randrange(len(t)), "Share | Print | Mail")
+    texts += [texts[1]] * 9 + [[f"BUY {k}!! NOW!! HERE!! CHEAP!!" for k in range(5)] + [prose()] for _ in range(12)] + [["x" * 30_000, "", "  "]]
+    df = spark.createDataFrame([(k, "\n".join(t), "x") for k, t in enumerate(texts)] + [(900, None, "x")], "doc_id long, text string, h string").repartition(3)
+    labels = spark.createDataFrame([(k, int("BUY" not in t[0])) for k, t in enumerate(texts) if k % 4], "doc_id long, quality int")
+    around: dict = {}
+    for t in texts:
+        for i, line in enumerate(t):
+            around.setdefault(line, set()).add((t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else ""))
+    sample = quality_lines.labelled_sample(df, labels, "quality", 1000)
+    got = {(r.doc_id, r.line_no) for r in quality_lines.spread_lines(df.select("doc_id", "text"), sample).collect()}
+    assert got == {(k, i) for k, t in enumerate(texts) if k % 4 for i, line in enumerate(t) if line.split() and len(around[line]) >= quality_lines.SPREAD} and got
+    model = quality_lines.fitted(df, labels)
+    seen = {(r.doc_id, r.line_no): r.is_content for r in quality_lines.line_labels(df, model).collect()}
+    right = [c == ("|" not in texts[k][i] and "BUY" not in texts[k][i]) for (k, i), c in seen.items() if k < 900 and len(texts[k][i]) < 1000]
+    assert sum(right) > 0.95 * len(right)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for n in range(1, 8):
@@ -632,6 +677,27 @@ def test_media(spark, docs, none):
     assert all(np.load(io.BytesIO(r.npy)).shape == (16, 16) for r in got)
 
 
+def brute_resize(a, height, width):
+    """Means by the share of every source sample that a target sample covers."""
+    h, w = a.shape
+    cover = lambda n, m: np.array([[max(0.0, min((i + 1) * n / m, k + 1) - max(i * n / m, k)) for k in range(n)] for i in range(m)])
+    return cover(h, height) @ a.astype(float) @ cover(w, width).T * height * width / (h * w)
+
+
+def test_area_resize_and_features():
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 24), (2, 3), (7, 5), (8, 24), (24, 24), (51, 24), (333, 24)):
+        a = rng.integers(0, 256, (h, w), np.uint8)
+        for height, width in ((16, 16), (8, 9), (3, 4)):
+            assert np.allclose(media.area_resize(a, height, width), brute_resize(a, height, width))
+        c = rng.integers(0, 256, (h, w, 3), np.uint8)
+        for image in (a, c):
+            tile, bits = media.tile_and_hash(image)
+            grey = image if image.ndim == 2 else (image.astype(int) @ [299, 587, 114]) // 1000
+            s = brute_resize(grey, 8, 9).round(6)
+            assert tile == media.tile_of(image) and bits == media.difference_hash(image) == f"{int(''.join(str(int(s[i, j + 1] > s[i, j])) for i in range(8) for j in range(8)), 2):016x}"
+
+
 def test_images(spark):
     rng = np.random.default_rng(0)
     a, c = rng.integers(0, 256, (7, 5), np.uint8), rng.integers(0, 256, (4, 6, 3), np.uint8)
