@@ -2,29 +2,33 @@
 
 Pages are written as WARC 1.1 records into gzip-compressed archives by Spark's own writer, so any store that Spark
 writes will do. Of equal payloads the largest id is a response and the others revisit it. Reading parses whole
-archives record by record; each archive gives an index run sorted by URL key and timestamp, and runs are merged
-range by range with a loser tree.
+archives record by record and makes the URL key of each; an archive gives an index run sorted by URL key and timestamp,
+and runs are merged range by range with a loser tree. Pages have no time of capture, so their id stands for it.
 
-Defined results: a null html is an empty payload; a null url has no target header and sorts first; rows with a null
-id are responses; rows that share payload and largest id are all responses; an empty table gives an empty index.
+Defined results: a null html is an empty payload, and payloads of any length are kept whole; a null url has no target
+header and sorts first; rows with a null id are responses; rows that share payload and largest id are all responses;
+repeated rows have a record each; equal keys and times go by id, then by archive and place; an empty table gives an
+empty index; only page_id, url and html are read, so extra columns of any name do not clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.shared import tables_dir, small, written
 
-#: Records to an archive, and index rows to a merged range.
-ARCHIVE_RECORDS, RANGE_ROWS = 1000, 100_000
+#: Records and bytes (before compression) to an archive at most, and index rows to a merged range.
+ARCHIVE_RECORDS, ARCHIVE_BYTES, RANGE_ROWS = 1000, 1 << 30, 100_000
 #: Fixed value: the letters of base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -37,11 +41,19 @@ def base32_sha1(payload: Column) -> Column:
     return F.array_join(letters, "")
 
 
-def url_key(url: Column) -> Column:
-    """A sort-friendly key: host labels reversed, then path and query; lower case, without scheme, www, fragment."""
-    u = F.regexp_replace(F.regexp_replace(F.lower(url), "#.*$", ""), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")
-    host = F.regexp_replace(F.regexp_extract(u, "^[^/?]*", 0), ":(80|443)$", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(u, r"^[^/?]*(.*)$", 1))
+_SCHEME = re.compile(r"^[a-z][a-z0-9+.-]*://(www\.)?")
+_HOST = re.compile(r"[^/?]*")
+
+
+def url_key(url: str | None) -> str:
+    """A sort-friendly key: host labels reversed, then path and query; lower case, without scheme, www, fragment. An
+    address that is missing has the empty key."""
+    if not url:
+        return ""
+    u = _SCHEME.sub("", url.lower().partition("#")[0])
+    host = _HOST.match(u)[0]
+    labels = re.sub(r":(80|443)$", "", host).split(".")
+    return ",".join(reversed(labels)) + ")" + u[len(host) :]
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -62,13 +74,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""), end)),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), end,
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("top")), end)).otherwise(""),
-        F.lit("WARC-Index-Key: "), F.coalesce(F.regexp_replace(url_key(F.col("url")), r"[\r\n]", ""), F.lit("")), end,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
     )
     return rows.select(F.concat(head, F.octet_length(block).cast("string"), end, end, block).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, per_archive: int = ARCHIVE_RECORDS) -> None:
+    """Archives of at most `per_archive` records, and of fewer where the longest payload could make one too large to read."""
+    longest = pages.agg(F.max(F.octet_length("html")).alias("n")).first().n or 0
+    per_archive = max(1, min(per_archive, ARCHIVE_BYTES // (longest + 4096)))
     records(pages, least).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_archive).text(path)
 
 
@@ -127,7 +141,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         size, digest = int(http.rpartition(b"Content-Length: ")[2]), h["WARC-Payload-Digest"].removeprefix("sha1:")
                     own, other = h["WARC-Record-ID"][13:-1], h.get("WARC-Refers-To", "<urn:capture:none>")[13:-1]
-                    rows.append((h.get("WARC-Index-Key", ""), h["WARC-Date"], None if own == "none" else int(own), size, digest, kind, None if other == "none" else int(other), h.get("WARC-Target-URI"), name.rpartition("/")[2], offset))
+                    rows.append((url_key(h.get("WARC-Target-URI")), h["WARC-Date"], None if own == "none" else int(own), size, digest, kind, None if other == "none" else int(other), h.get("WARC-Target-URI"), name.rpartition("/")[2], offset))
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
                 out = pd.DataFrame(rows, columns=["url_key", "ts", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive", "offset"])
                 out["page_id"], out["refers_to"] = out["page_id"].astype("Int64"), out["refers_to"].astype("Int64")
@@ -164,28 +178,30 @@ def loser_tree(runs: list[list]) -> Iterator:
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """All entries ordered by url_key, ts and page_id across partitions. Ranges split a key with many captures, too."""
+    """All entries ordered by url_key, ts and page_id across partitions. Ranges split a key with many captures, too.
+
+    A range gets its slice of every run from Spark's sort, which spills, in the order of archive and run_no: each slice
+    arrives sorted, as the run was written, and the loser tree merges the slices without sorting again. What a task
+    holds is one range, of about RANGE_ROWS narrow rows whatever the size of the table.
+    """
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
-    dealt = runs.repartitionByRange(ranges, F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_first(), F.col("archive"), F.col("offset"))
-    columns = runs.columns
+    dealt = runs.repartitionByRange(ranges, F.col("url_key"), F.col("ts"), F.col("page_id").asc_nulls_first(), F.col("archive"), F.col("offset")).sortWithinPartitions("archive", "run_no")
+    names = runs.columns
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        all_rows = pd.concat(got, ignore_index=True)
-        parts = []
-        for _, own in all_rows.groupby("archive", sort=True):
-            own = own.sort_values("run_no")
-            ids = [(0, 0) if pd.isna(p) else (1, int(p)) for p in own["page_id"]]
-            parts.append(list(zip(own["url_key"], own["ts"], ids, own["archive"], own["offset"], own.index, strict=True)))
-        order = [entry[-1] for entry in loser_tree(parts)]
-        merged = all_rows.loc[order, columns]
-        for c in ("page_id", "refers_to"):
-            merged[c] = merged[c].astype("Int64")
-        yield merged
-
-    return dealt.mapInPandas(merge, runs.schema)
+        rows = pa.Table.from_batches(got)
+        archive = rows["archive"].to_pylist()
+        starts = [k for k in range(len(archive)) if not k or archive[k] != archive[k - 1]]
+        page = [(0, 0) if p is None else (1, p) for p in rows["page_id"].to_pylist()]
+        entries = list(zip(rows["url_key"].to_pylist(), rows["ts"].to_pylist(), page, archive, rows["offset"].to_pylist(), range(len(page)), strict=True))
+        slices = [entries[a:b] for a, b in zip(starts, [*starts[1:], len(entries)], strict=True)]
+        order = pa.array([entry[-1] for entry in loser_tree(slices)], pa.int64())
+        yield from rows.take(order).select(names).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return dealt.mapInArrow(merge, runs.schema)
 
 
 def capture_histories(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:

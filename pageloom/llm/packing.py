@@ -5,8 +5,10 @@ number grows with the documents; in a bucket, blocks of pieces are divided over
 partitions with opposing imbalances are merged, largest spread first. If a window would exceed the capacity, the
 window count of the block rises by one and the block is divided again.
 
-Defined results: a null or empty text is the one closing id; rows with a null or repeated id are packed as rows of
-their own; an empty table gives no pieces; only the id and text columns are read. Sequences have 1024 ids or, in
+Defined results: a null or empty text is the one closing id; rows with a null or repeated id, and equal rows, are packed
+as rows of their own; texts of any length are packed whole; pieces of equal length go by the hash of their document; an
+empty table gives no pieces; only the id and text columns are read, so extra columns of any name do not clash. Pieces
+are dealt out by their document's content, so a task that is run again after a loss deals them out as before. Sequences have 1024 ids or, in
 the last windows of a block, fewer and are then padded to 1024, or to the power of two that they fill exactly.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,17 +113,22 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
 
-        model, task, row = _model(path), TaskContext.get().partitionId(), 0
+        model, task, again = _model(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             at, out = [], [[], [], [], [], []]
-            for k, text in enumerate(b.column(1)):
+            for k, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 ids = model.ids(text.as_py() or "") + b"\0\0\0\0"
                 view, n = memoryview(ids), len(ids) // 4
+                row = xxh64_intdigest(view, xxh64_intdigest(repr(key)))
+                again[row] += 1
+                # equal rows are told apart by their number within the task, so a task that runs again, with its rows in
+                # any order, deals out the same pieces
+                salt = xxh64_intdigest(f"{row}:{task}:{again[row]}") >> 1
                 for start, size in cuts(n):
                     at.append(k)
-                    row += 1
-                    for c, v in zip(out, (start, size, zlib.crc32(view[start * 4 : (start + size) * 4]), n, (task << 40) + row), strict=True):
+                    for c, v in zip(out, (start, size, zlib.crc32(view[start * 4 : (start + size) * 4]), n, salt), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], names)
 
@@ -128,7 +136,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, docs.count() // BUCKET_DOCS)
 
     def place(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values("salt", kind="stable", ignore_index=True)
+        got = got.sort_values(["salt", "start"], ignore_index=True)
         sizes = got["length"].to_numpy()
         sequence, offset, window = np.zeros(len(got), np.int64), np.zeros(len(got), np.int64), 0
         full = np.flatnonzero(sizes == CAPACITY)
@@ -146,5 +154,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         got["sequence_id"], got["offset"] = (int(key[0]) << 32) + sequence, offset
         return got[[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.lit(buckets)))
+    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("salt", "start"), F.lit(buckets)))
     return spread.groupBy("bucket").applyInPandas(place, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

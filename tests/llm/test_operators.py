@@ -631,7 +631,8 @@ def test_differencing():
 def test_captures(spark):
     rows = [(k, f"http://www.H{k % 7}.org/{k % 3}?q#f", f"<p>{k % 5}</p>") for k in range(40)]
     rows += [(50, None, None), (51, "http://a.b/", ""), (52, "http://a.b/", "WARC/1.1\r\nContent-Length: 3\r\n\r\nx\r\n\r\né"), (None, "http://a.b/", "<p>1</p>"), (39, "http://z.z/", "<p>4</p>")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    rows += [(53, "HTTPS://user@A.B:443/Long", "é<p>\r\n\r\n" * 40_000), (54, "no address", "x" * 300_000)]
+    pages = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, digest string, record string, bytes int")
     got = captures.capture_histories(pages).collect()
     import base64
 
@@ -648,10 +649,22 @@ def test_captures(spark):
     order = [(r.url_key, r.ts, r.page_id if r.page_id is not None else -1) for r in got]
     assert order == sorted(order) and any(r.url_key == "org,h3)/0?q" for r in got)
     assert captures.capture_histories(pages.where("false")).count() == 0
+    assert len({r.archive for r in got}) > 1 and {r.url_key for r in got if r.page_id in (53, 54)} == {"b,user@a)/long", "no address)"}
     few = captures.capture_histories(pages, least=9)
     assert few.where("record_type = 'revisit' and payload_bytes < 9").count() == 0
 
 
+def test_merge_over_ranges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(captures, "RANGE_ROWS", 50)
+    pages = spark.range(400).selectExpr("id as page_id", "concat('http://h', id % 3, '.org/') as url", "concat('p', id) as html")
+    captures.write_archives(pages, str(tmp_path / "w"), per_archive=30)
+    runs = captures.index_runs(spark, str(tmp_path / "w"))
+    merged = captures.merge_index(runs)
+    assert merged.rdd.getNumPartitions() > 4
+    got = [(r.url_key, r.ts, r.page_id) for r in merged.collect()]
+    assert got == sorted(got) and len(got) == 400 and runs.select("archive").distinct().count() > 10
+
+
 def test_loser_tree():
     rng = random.Random(8)
     for k in range(0, 9):
