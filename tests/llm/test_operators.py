@@ -211,30 +211,56 @@ def test_license_scan(spark, none):
 PREAMBLE = "The editors thank all readers who sent in their remarks over so many years and hope that the volume serves them as well as the one before it did in the old house near the harbour wall, "
 
 
-def test_license_wording():
-    scanner = licences.Scanner(licences.TEMPLATES)
-    confirmed = lambda t: {x[0] for x in scanner.scan(t) if x[3]}
-    for name, notice in licences.TEMPLATES.items():
-        assert confirmed(notice) == {name} and confirmed(PREAMBLE + notice) == {name}, name
-    assert confirmed("Copyright 2024 Foo Press, All rights reserved.") == {"Proprietary"}
-    for t in ("Released under the ISC License.", "Licensed under CC BY 3.0.", "Released under the BSD 4-Clause License.", "He gave a talk at MIT on the license of the river."):
-        assert not confirmed(t), t
-    assert confirmed("Released under the MIT License and licensed under the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
-
-
-def test_wrapped_license_notices():
-    scanner = licences.Scanner(licences.TEMPLATES)
-    for name, notice in licences.TEMPLATES.items():
-        words = notice.split()
+@pytest.fixture(scope="module")
+def scanner():
+    return licences.Scanner(licences.TEMPLATES)
+
+
+def confirmed(scanner, text):
+    return {x[0] for _, block in licences.blocks(text, scanner.longest) for x in scanner.scan(block) if x[-1]}
+
+
+def test_license_wording(scanner):
+    for name, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            assert confirmed(scanner, notice) == {name} and confirmed(scanner, PREAMBLE + notice) == {name}, notice
+    assert confirmed(scanner, "Copyright 2024 Foo Press, All rights reserved.") == {"Proprietary"}
+    denied = ["Not released under the MIT License.", "This is never licensed under the Apache License, Version 2.0.", "Use it under terms other than the MIT License.", "It isn't released under the MIT License."]
+    others = ["Released under the ISC Licence.", "Licensed under CC BY 2.0.", "Released under the BSD 4-Clause License.", "He gave a talk at MIT on the license of the river.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU General Public License, version 3.1."]
+    for t in denied + others:
+        assert not confirmed(scanner, t), t
+    assert confirmed(scanner, "Licensed under CC BY-NC-ND 4.0.") == {"CC-BY-NC-ND-4.0"} and confirmed(scanner, "# SPDX-License-Identifier: MIT") == {"MIT"}
+    assert confirmed(scanner, "Released under the MIT License and licensed under the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert confirmed(scanner, "All code here is\n * released under the GNU General Public\n * License, version 3.") == {"GPL-3.0"}
+    long = "word " * 4000 + "is released under the MIT License " + "and more " * 4000
+    assert confirmed(scanner, long) == {"MIT"} and not confirmed(scanner, "so " * 9000 + "the license")
+
+
+def test_license_ranks_and_differences(scanner):
+    """All templates are ranked by what they save, by a plain compressor; differences are those of the words."""
+    import zstandard as z
+
+    plain = {"level": 19, "write_content_size": False, "write_checksum": False}
+    for text in ("It is Released under the MIT License.", "Licensed under the GNU General Public License version 3", "Licensed under CC BY-SA 4.0 today", "the copyright is theirs"):
+        size = lambda t: len(z.ZstdCompressor(**plain, **({"dict_data": z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)} if t else {})).compress(text.encode()))  # noqa: B023, E731
+        saved = {n: max((size("") - size(t)) / len(t) for t in ts) for n, ts in licences.TEMPLATES.items()}
+        for name, saving, rank, n, differ, ok in scanner.scan(text):
+            assert n == len(differ) and saving <= saved[name] + 0.05 and (ok or rank == 1)
+    assert scanner.scan("Licensed under the GNU General Public License version 3")[0][3:] == (2, ["-this", "-work"], True) or scanner.scan("Licensed under the GNU General Public License version 3")[0][5]
+    assert scanner.scan("Released under an MIT License.")[0][3:5] == (1, ["-the+an"])
+
+
+def test_wrapped_license_notices(scanner):
+    for name, notices in licences.TEMPLATES.items():
+        words = notices[0].split()
         for k in range(1, len(words)):
             for line in ("\n", "\r\n", "\n    ", "\n# ", "\n * "):
                 text = "Ünï 😀 head\n\n" + " ".join(words[:k]) + line + " ".join(words[k:]) + "\n\nOther prose."
-                found = list(licences.blocks(text))
+                found = list(licences.blocks(text, scanner.longest))
                 assert all(text[start:].startswith(block) for start, block in found)
-                assert {x[0] for _, block in found for x in scanner.scan(block) if x[3]} == {name}, text
-    for k in range(190, 420):
-        found = licences.blocks("a " * (k // 2) + "b" * (k % 2) + " This work is licensed under the GNU General Public License, version 3.1 " + "c " * 300)
-        assert not any(x[3] for _, block in found for x in scanner.scan(block))
+                assert confirmed(scanner, text) == {name}, text
+    for k in range(1100, 1400, 7):
+        assert not confirmed(scanner, "a " * (k // 2) + "b" * (k % 2) + " This work is licensed under the GNU General Public License, version 3.1 " + "c " * 1500)
 
 
 # 4
