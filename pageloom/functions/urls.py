@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +107,54 @@ def search_key(url: Column) -> Column:
 def is_page_link(href: str | None) -> bool:
     h = (href or "").strip()
     return bool(h) and not re.match(r"#|javascript:|mailto:", h, re.I)
+
+
+def resolved(href: Column, base: Column | None = None) -> Column:
+    """URL(input, base): the absolute form by `resolve`, NULL for what is no address."""
+
+    @F.pandas_udf("string")
+    def apply(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([resolve(b, h) for h, b in zip(hrefs, bases, strict=True)], dtype=object)
+
+    return apply(href, F.lit(None).cast("string") if base is None else base)
+
+
+# --- searchParams: arrays of (key, value) pairs, as search_params gives them ---
+
+
+def params_has(params: Column, key: str) -> Column:
+    return F.exists(params, lambda p: p["key"] == key)
+
+
+def params_append(params: Column, key: str, value: Column) -> Column:
+    return F.concat(params, F.array(F.struct(F.lit(key).alias("key"), value.alias("value"))))
+
+
+def params_delete(params: Column, key: str) -> Column:
+    return F.filter(params, lambda p: p["key"] != key)
+
+
+def params_set(params: Column, key: str, value: Column) -> Column:
+    """The first pair of the key takes the value and the others go; without one it is appended."""
+    earlier = lambda i: F.exists(F.slice(params, 1, i), lambda q: q["key"] == key)
+    kept = F.filter(params, lambda p, i: (p["key"] != key) | ~earlier(i))
+    new = F.transform(kept, lambda p: F.when(p["key"] == key, F.struct(p["key"].alias("key"), value.alias("value"))).otherwise(p))
+    return F.when(params_has(params, key), new).otherwise(params_append(params, key, value))
+
+
+def params_keys(params: Column) -> Column:
+    return F.transform(params, lambda p: p["key"])
+
+
+def params_values(params: Column) -> Column:
+    return F.transform(params, lambda p: p["value"])
+
+
+def params_size(params: Column) -> Column:
+    return F.size(params)
+
+
+def params_string(params: Column) -> Column:
+    """The query text without a question mark; blanks are plus signs."""
+    text = lambda s: F.replace(F.replace(F.url_encode(s), F.lit("%7E"), F.lit("~")), F.lit("~"), F.lit("%7E"))
+    return F.array_join(F.transform(params, lambda p: F.concat(text(p["key"]), F.lit("="), text(p["value"]))), "&")

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.plans.selectors import SelectorError, _complex, parse_selector, specificity
@@ -78,6 +78,31 @@ def parse_css(css: str, media: str = "") -> list[tuple[str, str, list[tuple[str,
     return out
 
 
+def inline_declarations(style: Column) -> Column:
+    """(property, value) pairs of a style attribute in order; a semicolon in brackets or quotes parts nothing."""
+    parts = F.split(style, r""";(?=(?:[^"]*"[^"]*")*[^"]*$)(?=(?:[^']*'[^']*')*[^']*$)(?![^(]*\))""")
+    name = lambda d: F.trim(F.regexp_extract(d, r"(?s)^([^:]*):", 1))
+    value = lambda d: F.trim(F.regexp_replace(F.regexp_extract(d, r"(?s)^[^:]*:(.*)$", 1), r"(?i)\s*!\s*important\s*$", ""))
+    pairs = F.transform(parts, lambda d: F.struct(F.when(name(d).startswith("--"), name(d)).otherwise(F.lower(name(d))).alias("property"), value(d).alias("value")))
+    return F.filter(pairs, lambda p: (p["property"] != "") & (p["value"] != ""))
+
+
+#: Attributes that set a property before any rule does, and on which elements.
+HINTS = {"bgcolor": ("background-color", None), "color": ("color", ("font",)), "width": ("width", ("img", "table", "td", "th", "canvas", "video", "iframe")), "height": ("height", ("img", "table", "td", "th", "canvas", "video", "iframe")), "align": ("text-align", None)}
+
+
+def presentation_hints(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, property, value by attributes; bare numbers of width and height are pixels."""
+    parts = []
+    for attribute, (name, tags) in HINTS.items():
+        rows = nodes.where((F.col("kind") == "element") & F.map_contains_key("attr_map", attribute))
+        rows = rows.where(F.col("tag").isin(*tags)) if tags else rows
+        value = F.trim(F.element_at("attr_map", attribute))
+        value = F.when(value.rlike(r"^\d+$"), F.concat(value, F.lit("px"))).otherwise(value) if name in ("width", "height") else value
+        parts.append(rows.select("doc_id", "node_id", F.lit(name).alias("property"), value.alias("value")).where("value <> ''"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def computed_style(nodes: DataFrame, css: str, properties: tuple[str, ...] | None = None, viewport: tuple[int, int] = VIEWPORT) -> DataFrame:
     """doc_id, node_id, property, value: cascaded, then inherited. The sheet is the author's; its rules are the plan."""
     parts, order = [], 0
@@ -94,9 +119,11 @@ def computed_style(nodes: DataFrame, css: str, properties: tuple[str, ...] | Non
             a, b, t = specificity(c)
             hit = _complex(nodes, c, False).select("doc_id", "node_id", F.explode(pairs).alias("d"))
             parts.append(hit.select("doc_id", "node_id", "d.property", "d.value", F.struct(F.col("d.important").alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(t).alias("t"), F.lit(order).alias("o"), F.col("d.pos").alias("p")).alias("rank")))
-    inline = nodes.where((F.col("kind") == "element") & F.map_contains_key("attr_map", "style")).select("doc_id", "node_id", F.explode(F.split(F.element_at("attr_map", "style"), ";")).alias("d"))
-    inline = inline.where(F.col("d").contains(":")).select("doc_id", "node_id", F.lower(F.trim(F.split("d", ":", 2)[0])).alias("property"), F.regexp_replace(F.trim(F.split("d", ":", 2)[1]), r"\s*!\s*important\s*$", "").alias("value"), F.struct(F.lit(True).alias("i"), F.lit(1 << 30).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("t"), F.lit(0).alias("o"), F.lit(0).alias("p")).alias("rank"))
-    every = reduce(DataFrame.unionByName, parts, inline)
+    styled = nodes.where((F.col("kind") == "element") & F.map_contains_key("attr_map", "style"))
+    inline = styled.select("doc_id", "node_id", F.posexplode(inline_declarations(F.element_at("attr_map", "style"))).alias("pos", "d"))
+    inline = inline.select("doc_id", "node_id", "d.property", "d.value", F.struct(F.lit(True).alias("i"), F.lit(1 << 30).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("t"), F.lit(0).alias("o"), F.col("pos").alias("p")).alias("rank"))
+    weakest = F.struct(F.lit(False).alias("i"), F.lit(-1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("t"), F.lit(0).alias("o"), F.lit(0).alias("p")).alias("rank")
+    every = reduce(DataFrame.unionByName, parts, inline.unionByName(presentation_hints(nodes).select("*", weakest)))
     won = every.groupBy("doc_id", "node_id", "property").agg(F.max_by("value", "rank").alias("value"))
     if properties:
         won = won.where(F.col("property").isin(*properties))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.operators.css import inline_declarations
+from pageloom.plans import selectors
+
 #: The bits of a tree walker's mask.
 SHOW = {"element": 1, "text": 4, "comment": 128, "document": 256, "doctype": 512}
 
@@ -92,3 +95,84 @@ def _placed(nodes: DataFrame) -> DataFrame:
     joined = nodes.select("doc_id", "node_id").join(up, (F.col("doc_id") == F.col("u_doc")) & F.col("node_id").between(F.col("u"), F.col("u_end")))
     paths = joined.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("u", "step"))).alias("p")).select("doc_id", "node_id", F.array_join(F.transform("p", lambda x: x["step"]), "/").alias("path"))
     return nodes.join(paths, ["doc_id", "node_id"]).select("doc_id", "path", "kind", "tag", "data", "attr_map")
+
+
+# --- queries from an element ---
+
+
+def matches(nodes: DataFrame, starts: DataFrame, selector: str) -> DataFrame:
+    """doc_id, node_id of starts and whether each matches the selector."""
+    hits = selectors.select_all(nodes, selector).select("doc_id", "node_id", F.lit(True).alias("hit")).distinct()
+    return starts.select("doc_id", "node_id").join(hits, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("hit", F.lit(False)).alias("matches"))
+
+
+def select_within(nodes: DataFrame, starts: DataFrame, selector: str) -> DataFrame:
+    """The matches below each start (not the start itself), with from_id. Compounds may match above the start."""
+    return _step(selectors.select_all(nodes, selector), starts, (F.col("node_id") > F.col("s_node")) & (F.col("node_id") <= F.col("s_end")))
+
+
+def by_tag(nodes: DataFrame, tag: str) -> DataFrame:
+    return nodes.where(F.col("kind") == "element") if tag == "*" else nodes.where((F.col("kind") == "element") & (F.col("tag") == tag))
+
+
+def by_class(nodes: DataFrame, names: str) -> DataFrame:
+    """The elements that have all the names."""
+    out = nodes.where(F.col("kind") == "element")
+    for name in names.split():
+        out = out.where(F.array_contains("classes", name))
+    return out
+
+
+def first_element_child(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    return children(nodes.where(F.col("elem_idx") == 1), starts)
+
+
+def last_element_child(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    return children(nodes.where(F.col("elem_idx_last") == 1), starts)
+
+
+def next_element_sibling(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    placed = starts.select("doc_id", F.col("node_id").alias("from_id"), "parent_id", (F.col("elem_idx") + 1).alias("elem_idx"))
+    return nodes.where(F.col("kind") == "element").join(placed, ["doc_id", "parent_id", "elem_idx"])
+
+
+def child_element_count(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc_id, from_id, n; starts without a child element are left out."""
+    return children(nodes, starts).groupBy("doc_id", "from_id").agg(F.count("*").alias("n"))
+
+
+# --- classList, style and document accessors ---
+
+
+def class_add(classes: Column, name: str) -> Column:
+    return F.when(F.array_contains(classes, name), classes).otherwise(F.concat(classes, F.array(F.lit(name))))
+
+
+def class_remove(classes: Column, name: str) -> Column:
+    return F.filter(classes, lambda c: c != name)
+
+
+def class_toggle(classes: Column, name: str) -> Column:
+    return F.when(F.array_contains(classes, name), class_remove(classes, name)).otherwise(class_add(classes, name))
+
+
+def class_contains(classes: Column, name: str) -> Column:
+    return F.array_contains(classes, name)
+
+
+def style(attr_map: Column) -> Column:
+    """element.style: the inline declarations as a map; of equal properties the last wins."""
+    pairs = inline_declarations(F.coalesce(F.try_element_at(attr_map, F.lit("style")), F.lit("")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["property"] == p["property"]))
+    return F.map_from_entries(last)
+
+
+def document(nodes: DataFrame) -> DataFrame:
+    """One row per page: doc_id, title (white space collapsed), the nodes of the document element, head and body, and the
+    numbers of links, images, forms and scripts. One aggregate over the elements, and one join for the title's text."""
+    elements = nodes.where(F.col("kind") == "element")
+    first = lambda tag: F.min(F.when(F.col("tag") == tag, F.col("node_id"))).alias(tag)
+    count = lambda test, name: F.count_if(test).alias(name)
+    of = elements.groupBy("doc_id").agg(first("html"), first("head"), first("body"), count(F.col("tag").isin("a", "area") & F.map_contains_key("attr_map", "href"), "n_links"), count(F.col("tag") == "img", "n_images"), count(F.col("tag") == "form", "n_forms"), count(F.col("tag") == "script", "n_scripts"))
+    title = selectors.text_content(nodes, selectors.select_first(nodes, "title")).select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")).alias("title"))
+    return of.join(title, "doc_id", "left")

@@ -12,6 +12,10 @@ from pageloom.functions.urls import search_key
 # Providers by bit, in order, and the bundles.
 PROVIDERS = ("wikipedia", "arxiv", "github", "hackernews", "stackexchange", "crossref", "openlibrary", "reddit", "duckduckgo", "brave", "mojeek", "gdelt", "guardian", "bingnews")
 FLAGS = {name: 1 << k for k, name in enumerate(PROVIDERS)}
+#: The bundles of providers.
+BUNDLES = {"web": ("duckduckgo", "brave", "mojeek"), "news": ("gdelt", "guardian", "bingnews"), "scholarly": ("wikipedia", "arxiv", "crossref", "openlibrary"), "community": ("github", "hackernews", "stackexchange", "reddit"), "all": PROVIDERS}
+#: Default, least and greatest of each option.
+LIMITS = {"per_provider": (10, 1, 50), "max_crawled": (20, 1, 200), "max_depth": (0, 0, 5), "max_pages": (50, 1, 500), "parallel": (8, 1, 32)}
 HIT = "source string, rank int, url string, title string, snippet string, extra map<string,string>"
 
 # For each JSON provider the path to its items, the items' schema, and the hit's expressions.
@@ -70,7 +74,8 @@ def top_seeds(hits: DataFrame, most: int, order: list[Column]) -> DataFrame:
 
 def reattach(crawled: DataFrame, hits: DataFrame, url: str = "requested_url") -> DataFrame:
     """Crawl results with the hit that led to them, if any."""
-    h = hits.select(search_key(F.col("url")).alias("__key"), F.struct(*hits.columns).alias("search")).dropDuplicates(["__key"])
+    h = hits.select(search_key(F.col("url")).alias("__key"), F.struct(*hits.columns).alias("search"))
+    h = h.groupBy("__key").agg(F.min_by("search", F.struct(provider_order(F.col("search.source")), "search.rank")).alias("search"))
     return crawled.withColumn("__k", search_key(F.col(url))).join(h, F.col("__k") == F.col("__key"), "left").drop("__k", "__key")
 
 
@@ -81,3 +86,39 @@ def ranked(hits: DataFrame, order: list[Column], per: str) -> DataFrame:
 
 def clamp(value: int | None, default: int, low: int, high: int) -> int:
     return max(low, min(high, default if value is None else value))
+
+
+def flags_of(*names: str) -> int:
+    """The bits of providers and bundles by name."""
+    out = 0
+    for name in names:
+        for provider in BUNDLES.get(name, (name,)):
+            out |= FLAGS[provider]
+    return out
+
+
+def options(**given: int | None) -> dict[str, int]:
+    """All options, each given one within its bounds."""
+    unknown = set(given) - set(LIMITS)
+    if unknown:
+        raise ValueError(f"no such option: {', '.join(sorted(unknown))}")
+    return {name: clamp(given.get(name), *bounds) for name, bounds in LIMITS.items()}
+
+
+def search(payloads: DataFrame, *providers: str, per_provider: int | None = None) -> DataFrame:
+    """The hits of the named providers and bundles, the first of each address, in the order of providers."""
+    most = options(per_provider=per_provider)["per_provider"]
+    hits = fan_in(payloads, flags_of(*(providers or ("all",)))).where(F.col("rank") < most)
+    return merge_first(hits, [provider_order(F.col("source")), F.col("rank")])
+
+
+def search_and_crawl(payloads: DataFrame, pages: DataFrame, *providers: str, **given: int | None) -> DataFrame:
+    """Searches, crawls from the first hits and gives the crawl's rows with page, error and the hit that led there."""
+    from pageloom.operators import crawl
+
+    o = options(**given)
+    hits = search(payloads, *providers, per_provider=o["per_provider"])
+    seeds = top_seeds(hits, o["max_crawled"], [provider_order(F.col("source")), F.col("rank"), F.col("url")])
+    seeds = seeds.select("url", F.struct(provider_order(F.col("source")), "rank", "url").alias("ord"))
+    crawled = crawl.crawl(seeds, pages, crawl.CrawlOptions(max_pages=o["max_pages"], max_depth=o["max_depth"], stay_on_host=True, follow_links=o["max_depth"] > 0))
+    return reattach(crawl.with_pages(crawled, pages), hits, "url")

@@ -29,8 +29,9 @@ def add(table: DataFrame, rows: DataFrame) -> DataFrame:
     doubled = rows.unionByName(table.join(rows.select(*_KEY).distinct(), _KEY, "left_semi").select("db", "store", "seq", "key", "value"))
     checked = doubled.groupBy(*_KEY).agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("seq").alias("seq"))
     fault = F.raise_error(F.concat(F.lit("ConstraintError: "), F.col("key")))
-    fresh = checked.select("db", "store", "seq", F.when(F.col("n") > 1, fault.cast("string")).otherwise(F.col("key")).alias("key"), "value")
-    return table.unionByName(fresh)
+    # the check is a filter, which stays whatever columns are read
+    fresh = checked.where(F.when(F.col("n") > 1, fault.cast("boolean")).otherwise(True))
+    return table.unionByName(fresh.select("db", "store", "seq", "key", "value"))
 
 
 def _in(db: str, store: str) -> Column:
@@ -62,3 +63,27 @@ def get_all_keys(table: DataFrame, db: str, store: str) -> DataFrame:
 
 
 delete_store = clear
+
+
+# --- a store of plain texts, such as a page's local storage: db is the origin ---
+
+LOCAL = "local"
+
+
+def set_item(table: DataFrame, items: DataFrame) -> DataFrame:
+    """items: db, seq, key, value."""
+    return put(table, items.withColumn("store", F.lit(LOCAL)).select("db", "store", "seq", "key", "value"))
+
+
+def get_item(table: DataFrame, origin: str, key: str) -> DataFrame:
+    return get(table, origin, LOCAL, key)
+
+
+def remove_item(table: DataFrame, origin: str, key: str) -> DataFrame:
+    return delete(table, origin, LOCAL, key)
+
+
+def key_at(table: DataFrame, origin: str, n: int) -> DataFrame:
+    """The key of the n-th item by insertion: a top-k of n + 1 rows."""
+    return get_all_keys(table, origin, LOCAL).offset(n).limit(1)
+

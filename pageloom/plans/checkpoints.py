@@ -1,14 +1,31 @@
-"""Where iterative plans cut their lineage."""
+"""Where iterative plans cut their lineage, and where tables lie that several joins read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own folder; a temporary one only where none is set, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local session (all in one
+    process) gets a temporary folder; a cluster gets an error, as its machines have no folder in common then."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='pageloom-')}"
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='pageloom-')}")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, whatever reads it and whatever executors are lost."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/pageloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

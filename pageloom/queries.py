@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import js, urls
 from pageloom.operators import crawl as crawling
-from pageloom.operators import css, search, usage
+from pageloom.operators import search, usage
 from pageloom.operators.article import skim
 from pageloom.operators.selections import selections
 from pageloom.plans import selectors
+from pageloom.plans.checkpoints import ensure_checkpoint_dir, written
 from pageloom.sources.pages import parse_pages
 from pageloom.streaming import events as windows
 
@@ -27,9 +27,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The node table, kept while a query's joins read it several times, so each page is parsed once. Over many
-    queries it is better written once as Parquet, where filters on kind and tag reach the scan."""
-    return parse_pages(_t(spark, d, "pages")).persist(StorageLevel.MEMORY_AND_DISK)
+    """The node table, written once, so that the query's joins parse no page twice and filters reach the scan."""
+    return written(parse_pages(_t(spark, d, "pages")), "nodes")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -89,12 +88,10 @@ def css_has(spark, d):
     return selectors.select_all(_nodes(spark, d), "article:has(h1)").select(F.col("doc_id").alias("page_id"))
 
 
-@query("select page_id, regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1) as ad from pages where contains(html, '<div class=\"ad\">') and not contains(regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1), '&')")
+@query("select page_id, " + _UNESCAPED.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)") + " as ad from pages where contains(html, '<div class=\"ad\">')")
 def css_class_text(spark, d):
     nodes = _nodes(spark, d)
-    texts = selectors.text_content(nodes, selectors.select_all(nodes, "div.ad"))
-    raw = _t(spark, d, "pages").where(~F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1).contains("&")).select("page_id")
-    return texts.join(raw, F.col("doc_id") == F.col("page_id"), "left_semi").select(F.col("doc_id").alias("page_id"), F.col("text").alias("ad"))
+    return selectors.text_content(nodes, selectors.select_all(nodes, "div.ad")).select(F.col("doc_id").alias("page_id"), F.col("text").alias("ad"))
 
 
 @query("select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang from pages")
@@ -102,20 +99,6 @@ def css_root_attribute(spark, d):
     return selectors.select_all(_nodes(spark, d), "html:root[lang]").select(F.col("doc_id").alias("page_id"), F.element_at("attr_map", "lang").alias("lang"))
 
 
-@query()
-def css_siblings(spark, d):
-    """Sibling combinators: paragraphs after the heading, and the one right after it."""
-    nodes = _nodes(spark, d)
-    after = selectors.select_all(nodes, "h1 ~ p").groupBy("doc_id").agg(F.count("*").alias("n_after"))
-    next_ = selectors.select_all(nodes, "h1 + p").groupBy("doc_id").agg(F.count("*").alias("n_next"))
-    return after.join(next_, "doc_id", "full_outer").select(F.col("doc_id").alias("page_id"), "n_after", "n_next")
-
-
-@query()
-def dom_nodes(spark, d):
-    return _nodes(spark, d).groupBy("kind", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
-
-
 @query()
 def articles(spark, d):
     return skim(_t(spark, d, "pages")).drop("images", "links", "nav_links")
@@ -131,11 +114,6 @@ def article_metadata(spark, d):
     return skim(_t(spark, d, "pages")).select("page_id", "lang", "site_name", "title")
 
 
-@query()
-def article_links(spark, d):
-    return skim(_t(spark, d, "pages")).select("page_id", F.posexplode("nav_links").alias("pos", "link")).select("page_id", "pos", "link.href", "link.text")
-
-
 @query("select page_id, len(regexp_extract_all(html, '<li>'))::int as n_items, len(regexp_extract_all(html, '<h1>'))::int as n_heads from pages")
 def page_selections(spark, d):
     """The crawl's selector projection: matches and their texts, in the same hop as parsing."""
@@ -144,13 +122,6 @@ def page_selections(spark, d):
     return chosen.select("page_id", count(0).alias("n_items"), count(1).alias("n_heads"))
 
 
-@query()
-def css_computed_style(spark, d):
-    """A small sheet's cascade over all pages: how often each property takes each value."""
-    sheet = "p { margin: 0 } article p { color: navy; margin: 1px } body { color: black } nav, .ad { color: gray } h1 { font-size: 2em !important }"
-    return css.computed_style(_nodes(spark, d), sheet).groupBy("property", "value").agg(F.count("*").alias("n"))
-
-
 # --- URLs ---
 
 
@@ -184,8 +155,6 @@ def host_stats(spark, d):
 @query()
 def crawl_levels(spark, d):
     """A crawl over the pages themselves, whose links are made to lead from each page to others of the table."""
-    from pageloom.plans.checkpoints import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     p = _t(spark, d, "pages").select("page_id", "url")
     return crawling.crawl(p.where("page_id = 0").select("url"), _web(p), crawling.CrawlOptions(max_pages=40, max_depth=4, stay_on_host=False)).select("url", "depth", "ord")
@@ -244,17 +213,17 @@ def crawl_bytes(spark, d):
 # --- the function library ---
 
 
-@query(r"""select doc_id, text[1:1] as first, text[-5:] as last5, coalesce(nullif(strpos(text, 'the'), 0) - 1, -1)::int as at_the, lower(text[1:10]) as low10, contains(text, 'and') as has_and,
-case when length(text) >= 12 then text else lpad(text, 12, '*') end[1:12] as padded, replace(text[1:80], 'e', 'E') as replaced, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> ''))::int as words from documents""")
+@query(r"""select doc_id, text[1:1] as first, text[-5:] as last5, coalesce(nullif(strpos(text, 'the'), 0) - 1, -1)::int as at_the, md5(lower(text)) as low, contains(text, 'and') as has_and,
+md5(case when length(text) >= 12 then text else lpad(text, 12, '*') end) as padded, md5(replace(text, 'e', 'E')) as replaced, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> ''))::int as words from documents""")
 def js_strings(spark, d):
     t = F.col("text")
-    return _t(spark, d, "documents").select("doc_id", js.char_at(t, 0).alias("first"), js.slice_(t, -5).alias("last5"), js.index_of(t, "the").alias("at_the"), F.lower(js.slice_(t, 0, 10)).alias("low10"), js.includes(t, "and").alias("has_and"), js.slice_(js.pad_start(t, 12, "*"), 0, 12).alias("padded"), js.replace_all(js.substring(t, 0, 80), "e", "E").alias("replaced"), F.size(F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).alias("words"))
+    return _t(spark, d, "documents").select("doc_id", js.char_at(t, 0).alias("first"), js.slice_(t, -5).alias("last5"), js.index_of(t, "the").alias("at_the"), F.md5(F.lower(t)).alias("low"), js.includes(t, "and").alias("has_and"), F.md5(js.pad_start(t, 12, "*")).alias("padded"), F.md5(js.replace_all(t, "e", "E")).alias("replaced"), F.size(F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).alias("words"))
 
 
-@query(r"""select doc_id, base64(encode('id ' || doc_id)) as b64, md5(text) as md5, sha256(text) as sha256, string_split(text[1:60], ' ')[1:3] as head, regexp_extract_all(text[1:200], '[0-9]+') as numbers from documents""")
+@query(r"""select doc_id, base64(encode('id ' || doc_id)) as b64, md5(text) as md5, sha256(text) as sha256, string_split(text, ' ')[1:3] as head, len(string_split(text, ' '))::int as parts, regexp_extract_all(text, '[0-9]+') as numbers from documents""")
 def js_encodings(spark, d):
     t = F.col("text")
-    return _t(spark, d, "documents").select("doc_id", js.btoa(F.concat(F.lit("id "), F.col("doc_id").cast("string"))).alias("b64"), F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), js.split(js.substring(t, 0, 60), " ", 3).alias("head"), js.match_all(js.substring(t, 0, 200), "[0-9]+").alias("numbers"))
+    return _t(spark, d, "documents").select("doc_id", js.btoa(F.concat(F.lit("id "), F.col("doc_id").cast("string"))).alias("b64"), F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), js.split(t, " ", 3).alias("head"), F.size(js.split(t, " ")).alias("parts"), js.match_all(t, "[0-9]+").alias("numbers"))
 
 
 @query("""select l_orderkey, l_linenumber, floor(l_quantity + 0.5)::double as rounded, (l_quantity::int & 12)::int as anded, (l_quantity::int << 3)::int as shifted, sign(l_extendedprice - 30000)::double as sgn,
