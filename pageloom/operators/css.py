@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.plans.selectors import SelectorError, _complex, parse_selector, specificity
+from pageloom.plans.selectors import SelectorError, _complex, cell, cells, parse_selector, specificity
 
 # The properties that inherit.
 INHERITED = (
@@ -129,8 +129,8 @@ def computed_style(nodes: DataFrame, css: str, properties: tuple[str, ...] | Non
         won = won.where(F.col("property").isin(*properties))
     heirs = F.col("property").isin(*INHERITED) | F.col("property").startswith("--")
     spans = nodes.where(F.col("kind") == "element").select("doc_id", "node_id", "end_id")
-    given = won.where(heirs).join(spans, ["doc_id", "node_id"]).select(F.col("doc_id").alias("d"), F.col("node_id").alias("a"), "end_id", "property", "value")
-    below = spans.select("doc_id", "node_id").join(given, (F.col("doc_id") == F.col("d")) & F.col("node_id").between(F.col("a"), F.col("end_id")))
+    given = won.where(heirs).join(spans, ["doc_id", "node_id"]).select(F.col("doc_id").alias("d"), F.col("node_id").alias("a"), "end_id", "property", "value", F.explode(cells(F.col("node_id"), F.col("end_id"))).alias("cell"))
+    below = spans.select("doc_id", "node_id").join(given, (F.col("doc_id") == F.col("d")) & (cell(F.col("node_id")) == F.col("cell")) & F.col("node_id").between(F.col("a"), F.col("end_id")))
     inherited = below.groupBy("doc_id", "node_id", "property").agg(F.max_by("value", "a").alias("value"))
     return won.where(~heirs).unionByName(inherited)
 

@@ -1,4 +1,4 @@
-"""Navigation and differences over the node table: every step is an equi-join or an interval join within a page."""
+"""Navigation and differences over the node table: every step is an equi-join, by page, parent or cell of nodes."""
 
 from __future__ import annotations
 
@@ -43,7 +43,10 @@ def first_child(nodes: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    return _step(nodes, starts, (F.col("node_id") > F.col("s_node")) & (F.col("node_id") <= F.col("s_end")))
+    """All nodes below each start, met by page and cell."""
+    s = starts.select(F.col("doc_id").alias("s_doc"), F.col("node_id").alias("from_id"), F.col("end_id").alias("s_end"), F.explode(selectors.cells(F.col("node_id") + 1, F.col("end_id"))).alias("s_cell"))
+    on = (F.col("doc_id") == F.col("s_doc")) & (selectors.cell(F.col("node_id")) == F.col("s_cell")) & (F.col("node_id") > F.col("from_id")) & (F.col("node_id") <= F.col("s_end"))
+    return nodes.join(s, on).drop("s_doc", "s_end", "s_cell")
 
 
 def contains(a: Column, a_end: Column, b: Column) -> Column:
@@ -91,8 +94,8 @@ def mutations(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def _placed(nodes: DataFrame) -> DataFrame:
     """Nodes with their path: the positions and kinds of all ancestors, by one interval join."""
-    up = nodes.select(F.col("doc_id").alias("u_doc"), F.col("node_id").alias("u"), F.col("end_id").alias("u_end"), F.concat_ws(":", "child_idx", F.coalesce("tag", "kind")).alias("step"))
-    joined = nodes.select("doc_id", "node_id").join(up, (F.col("doc_id") == F.col("u_doc")) & F.col("node_id").between(F.col("u"), F.col("u_end")))
+    up = nodes.select(F.col("doc_id").alias("u_doc"), F.col("node_id").alias("u"), F.col("end_id").alias("u_end"), F.concat_ws(":", "child_idx", F.coalesce("tag", "kind")).alias("step"), F.explode(selectors.cells(F.col("node_id"), F.col("end_id"))).alias("u_cell"))
+    joined = nodes.select("doc_id", "node_id").join(up, (F.col("doc_id") == F.col("u_doc")) & (selectors.cell(F.col("node_id")) == F.col("u_cell")) & F.col("node_id").between(F.col("u"), F.col("u_end")))
     paths = joined.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("u", "step"))).alias("p")).select("doc_id", "node_id", F.array_join(F.transform("p", lambda x: x["step"]), "/").alias("path"))
     return nodes.join(paths, ["doc_id", "node_id"]).select("doc_id", "path", "kind", "tag", "data", "attr_map")
 
@@ -108,7 +111,7 @@ def matches(nodes: DataFrame, starts: DataFrame, selector: str) -> DataFrame:
 
 def select_within(nodes: DataFrame, starts: DataFrame, selector: str) -> DataFrame:
     """The matches below each start (not the start itself), with from_id. Compounds may match above the start."""
-    return _step(selectors.select_all(nodes, selector), starts, (F.col("node_id") > F.col("s_node")) & (F.col("node_id") <= F.col("s_end")))
+    return descendants(selectors.select_all(nodes, selector), starts)
 
 
 def by_tag(nodes: DataFrame, tag: str) -> DataFrame:

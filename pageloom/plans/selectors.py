@@ -238,6 +238,20 @@ def _compound(c: Compound) -> Column | None:
     return reduce(lambda x, y: x & y, tests, (F.col("tag") == c.tag) if c.tag else F.lit(True))
 
 
+#: Nodes to a cell. Subtrees are joined with their nodes by page and cell, so that a page of many nodes is dealt out to
+#: many tasks, and a node meets only the subtrees that reach into its cell.
+CELL = 256
+
+
+def cell(node: Column) -> Column:
+    return F.floor(node / CELL)
+
+
+def cells(first: Column, last: Column) -> Column:
+    """The cells that a subtree reaches into, to explode; none if it is empty."""
+    return F.when(last >= first, F.sequence(cell(first), cell(last))).otherwise(F.array().cast("array<bigint>"))
+
+
 _KEYS = ("doc_id", "node_id", "end_id", "parent_id", "child_idx", "elem_idx", "prev_kind")
 
 
@@ -254,8 +268,10 @@ def _matches(nodes: DataFrame, c: Compound, spec: bool) -> DataFrame:
             out = out.join(filled, (F.col("doc_id") == F.col("d")) & (F.col("node_id") == F.col("p")), "left_anti")
         elif test[0] == "has":
             inner = _any(nodes, test[1], spec).select(F.col("doc_id").alias("d"), F.col("node_id").alias("x"))
-            low = F.col("x") > F.col("node_id") if spec else F.col("x") >= F.col("node_id")
-            out = out.join(inner, (F.col("doc_id") == F.col("d")) & low & (F.col("x") <= F.col("end_id")), "left_semi")
+            low = F.col("node_id") + 1 if spec else F.col("node_id")
+            reach = out.select("doc_id", "node_id", "end_id", low.alias("low"), F.explode(cells(low, F.col("end_id"))).alias("cell"))
+            on = (F.col("doc_id") == F.col("d")) & (F.col("cell") == cell(F.col("x"))) & F.col("x").between(F.col("low"), F.col("end_id"))
+            out = out.join(reach.join(inner, on, "left_semi").select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")
         else:
             inner = _any(nodes, test[1], spec).select(F.col("doc_id").alias("d"), F.col("node_id").alias("x"))
             out = out.join(inner, (F.col("doc_id") == F.col("d")) & (F.col("node_id") == F.col("x")), "left_anti" if test[0] == "not" else "left_semi")
@@ -272,7 +288,8 @@ def _complex(nodes: DataFrame, c: Complex, spec: bool) -> DataFrame:
         l = left.select(*(F.col(x).alias(f"l_{x}") for x in _KEYS))  # noqa: E741
         on = F.col("doc_id") == F.col("l_doc_id")
         if c.combinators[k - 1] == " ":
-            on = on & (F.col("node_id") > F.col("l_node_id")) & (F.col("node_id") <= F.col("l_end_id"))
+            l = l.withColumn("l_cell", F.explode(cells(F.col("l_node_id") + 1, F.col("l_end_id"))))  # noqa: E741
+            on = on & (cell(F.col("node_id")) == F.col("l_cell")) & (F.col("node_id") > F.col("l_node_id")) & (F.col("node_id") <= F.col("l_end_id"))
         elif c.combinators[k - 1] == ">":
             on = on & (F.col("parent_id") == F.col("l_node_id"))
         else:
@@ -312,15 +329,15 @@ def select_first(nodes: DataFrame, selector: str, spec: bool = False) -> DataFra
 
 def closest(nodes: DataFrame, starts: DataFrame, selector: str) -> DataFrame:
     """For each (doc_id, node_id) of starts: the node itself or its nearest ancestor that matches, as closest_id."""
-    hits = select_all(nodes, selector).select("doc_id", F.col("node_id").alias("a"), "end_id")
-    near = starts.select("doc_id", "node_id").join(hits, "doc_id").where(F.col("node_id").between(F.col("a"), F.col("end_id")))
+    hits = select_all(nodes, selector).select("doc_id", F.col("node_id").alias("a"), "end_id", F.explode(cells(F.col("node_id"), F.col("end_id"))).alias("cell"))
+    near = starts.select("doc_id", "node_id", cell(F.col("node_id")).alias("cell")).join(hits, ["doc_id", "cell"]).where(F.col("node_id").between(F.col("a"), F.col("end_id")))
     return near.groupBy("doc_id", "node_id").agg(F.max("a").alias("closest_id"))
 
 
 def text_content(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, node_id, text: the descendant text of each hit, in document order."""
-    h = hits.select("doc_id", "node_id", "end_id")
+    h = hits.select("doc_id", "node_id", "end_id", F.explode(cells(F.col("node_id"), F.col("end_id"))).alias("cell"))
     t = nodes.where(F.col("kind") == "text").select(F.col("doc_id").alias("d"), F.col("node_id").alias("t"), "data")
-    joined = h.join(t, (F.col("doc_id") == F.col("d")) & F.col("t").between(F.col("node_id"), F.col("end_id")), "left")
+    joined = h.join(t, (F.col("doc_id") == F.col("d")) & (F.col("cell") == cell(F.col("t"))) & F.col("t").between(F.col("node_id"), F.col("end_id")), "left")
     grouped = joined.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "data")))).alias("parts"))
     return grouped.select("doc_id", "node_id", F.array_join(F.transform("parts", lambda p: p["data"]), "").alias("text"))

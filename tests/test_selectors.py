@@ -56,3 +56,22 @@ def test_plans_have_no_nested_loops(nodes):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "Join" not in select_all(nodes, "li.x[y]:nth-child(2)")._jdf.queryExecution().executedPlan().toString()
     assert F is not None
+
+
+def test_subtrees_over_many_cells(spark, monkeypatch):
+    """The same matches, texts and ancestors whatever the size of a cell."""
+    from pageloom.operators import css, dom
+    from pageloom.plans import selectors
+
+    html = "".join(f"<div class=c{k % 3}>t{k}<p><b>{k}</b></p><ul><li>x<ul><li>y{k}</ul></ul></div>" for k in range(40)) + "<div>" * 30 + "<i>deep</i>"
+    nodes = parse_pages(spark.createDataFrame([(1, html), (2, "<div><p>a")], "page_id long, html string")).cache()
+    found = []
+    for size in (256, 7, 1):
+        monkeypatch.setattr(selectors, "CELL", size)
+        hits = {s: sorted((r.doc_id, r.node_id) for r in selectors.select_all(nodes, s).collect()) for s in ("div b", "ul li", "div:has(b)", "body div div i", "div:has(p b) ul")}
+        texts = sorted(tuple(r) for r in selectors.text_content(nodes, selectors.select_all(nodes, "ul, i")).collect())
+        near = sorted(tuple(r) for r in selectors.closest(nodes, selectors.select_all(nodes, "b, li"), "div, ul").collect())
+        below = sorted((r.from_id, r.node_id) for r in dom.descendants(nodes, nodes.where("tag = 'ul'")).collect())
+        styles = sorted(tuple(r) for r in css.computed_style(nodes, "div { color: red } ul { color: blue } p { margin: 0 }").collect())
+        found.append((hits, texts, near, below, styles, dom.mutations(nodes, nodes).count()))
+    assert found[0] == found[1] == found[2] and all(found[0][0].values()) and found[0][5] == 0
