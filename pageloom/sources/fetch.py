@@ -12,14 +12,18 @@ MAX_BODY = 50 << 20
 
 
 def from_files(spark: SparkSession, path: str, content_type: str | None = None) -> DataFrame:
-    """url, status, content_type, body of the files under a path; larger ones than the cap are left out by the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_BODY)
-    return files.select(F.col("path").alias("url"), F.lit(200).alias("status"), F.lit(content_type).cast("string").alias("content_type"), F.col("content").alias("body"))
+    """url, status, content_type, body of the files under a path. One over the cap is a row of status 413 without a body,
+    which the scan does not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = F.lit(content_type).cast("string").alias("content_type")
+    read = files.where(F.col("length") <= MAX_BODY).select(F.col("path").alias("url"), F.lit(200).alias("status"), kind, F.col("content").alias("body"))
+    return read.unionByName(files.where(F.col("length") > MAX_BODY).select(F.col("path").alias("url"), F.lit(413).alias("status"), kind, F.lit(None).cast("binary").alias("body")))
 
 
 def intercept(fetched: DataFrame, mocks: DataFrame) -> DataFrame:
     """fetched (url, status, content_type, body) with the answers that mocks has for a URL in place of the real ones."""
-    m = mocks.select(F.col("url").alias("m_url"), F.col("status").alias("m_status"), F.col("content_type").alias("m_type"), F.col("body").alias("m_body")).dropDuplicates(["m_url"])
+    m = mocks.select(F.col("url").alias("m_url"), F.col("status").alias("m_status"), F.col("content_type").alias("m_type"), F.col("body").alias("m_body"))
+    m = m.groupBy("m_url").agg(F.min_by(F.struct("m_status", "m_type", "m_body"), F.struct("m_status", "m_type", F.md5("m_body"))).alias("m")).select("m_url", "m.*")
     hit = F.col("m_url").isNotNull()
     return fetched.join(m, F.col("url") == F.col("m_url"), "left").select("url", F.when(hit, F.col("m_status")).otherwise(F.col("status")).alias("status"), F.when(hit, F.col("m_type")).otherwise(F.col("content_type")).alias("content_type"), F.when(hit, F.col("m_body")).otherwise(F.col("body")).alias("body"))
 

@@ -1,7 +1,7 @@
 """PDF text: objects found by scanning, streams decoded, text runs placed, rows and tables laid out.
 
 Objects are found by their "n g obj" marks (the last one of a number wins) and in object streams, so a damaged cross
-reference does not matter. Encrypted files raise PdfError.
+reference does not matter. Encrypted files are read if they open without a password, else they raise PdfError.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from html import escape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pageloom.sources.pdf_crypt import Cipher
+
 
 class PdfError(ValueError):
     """The file cannot be read; callers turn it into a row with an error."""
@@ -201,12 +203,25 @@ class Pdf:
     def __init__(self, data: bytes):
         if b"%PDF-" not in data[:1024]:
             raise PdfError("no PDF header")
-        if re.search(rb"/Encrypt[\s\d]", data):
-            raise PdfError("the file is encrypted")
         self.objects: dict[int, tuple] = {}
-        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
-            self.objects[int(m[1])] = (data, m.end())
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b", data):
+            self.objects[int(m[1])] = (data, m.end(), int(m[2]))
         self.known: dict[int, object] = {}
+        self.cipher: Cipher | None = None
+        lock = re.search(rb"/Encrypt(?=[\s<])", data)
+        if lock:
+            given, mark = Lexer(data, lock.end()).value(), re.search(rb"/ID\s*(?=\[)", data)
+            first = Lexer(data, mark.end()).value() if mark else [b""]
+            spec = self.get(given)
+            self.known.clear()
+            if not isinstance(spec, dict):
+                raise PdfError("the file is encrypted in a way that is not read")
+            try:
+                self.cipher = Cipher({k: self.get(v) for k, v in spec.items()}, first[0] if first else b"")
+            except (ValueError, KeyError, TypeError) as e:
+                raise PdfError(str(e)) from None
+            self.spec_number = given[0] if isinstance(given, Ref) else None
+            self.known.clear()
         for n in list(self.objects):
             o = self.get(Ref((n, 0)))
             if isinstance(o, dict) and o.get("Type") == "ObjStm":
@@ -224,9 +239,14 @@ class Pdf:
             if n not in self.known:
                 if n not in self.objects:
                     return None
-                data, at = self.objects[n]
+                data, at, *generation = self.objects[n]
                 lexer = Lexer(data, at)
                 got = lexer.value()
+                # what stands in an object stream was decrypted with it
+                if self.cipher and generation and n != self.spec_number:
+                    got = self._plain(got, n, generation[0])
+                    if isinstance(got, dict):
+                        got["__of"] = (n, generation[0])
                 if isinstance(got, dict):
                     m = re.compile(rb"\s*stream(?:\r\n|\n|\r)").match(data, lexer.at)
                     if m:
@@ -235,13 +255,24 @@ class Pdf:
             v = self.known[n]
         return None
 
-    def stream(self, o: dict) -> bytes:
+    def _plain(self, v, n: int, generation: int):
+        if isinstance(v, bytes):
+            return self.cipher.plain(v, n, generation, "string")
+        if isinstance(v, list):
+            return [self._plain(x, n, generation) for x in v]
+        return {k: self._plain(x, n, generation) for k, x in v.items()} if isinstance(v, dict) else v
+
+    def stream(self, o: dict, decode: bool = True) -> bytes:
         data, at = o["__at"]
         size = self.get(o.get("Length"))
         if not isinstance(size, int) or not re.compile(rb"\s*endstream").match(data, at + size):
             end = data.find(b"endstream", at)
             size = (end if end >= 0 else len(data)) - at
         raw = data[at : at + size]
+        if self.cipher and "__of" in o and o.get("Type") != "XRef":
+            raw = self.cipher.plain(raw, *o["__of"], "stream")
+        if not decode:
+            return raw
         names, parms = self.get(o.get("Filter")) or [], self.get(o.get("DecodeParms"))
         names = names if isinstance(names, list) else [names]
         parms = parms if isinstance(parms, list) else [parms] * len(names)
@@ -468,20 +499,75 @@ def pdf_html(body: bytes) -> str:
     return "".join(out)
 
 
-def run_table(files: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id, page_no, x, y, text, error of PDF bodies."""
+@_declared
+def pdf_links(body: bytes) -> list[tuple[int, float, float, float, float, str]]:
+    """(page, left, bottom, right, top, address) of the link annotations that have an address."""
+    pdf, out = Pdf(body), []
+    for k, page in enumerate(pdf.pages()):
+        for note in map(pdf.get, pdf.get(page.get("Annots")) or []):
+            action = pdf.get(note.get("A")) if isinstance(note, dict) and note.get("Subtype") == "Link" else None
+            address = pdf.get(action.get("URI")) if isinstance(action, dict) else None
+            box = [float(pdf.get(v)) for v in pdf.get(note.get("Rect")) or []] if address else []
+            if len(box) == 4:
+                out.append((k, min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3]), address.decode("latin-1")))
+    return out
+
+
+def linked_runs(body: bytes) -> list[tuple[int, float, float, str, str | None]]:
+    """(page, x, y, text, address): a run that starts in a link's rectangle has its address; of several the first."""
+    links = pdf_links(body)
+    return [(k, x, y, t, next((u for p, a, b, c, d, u in links if p == k and a - ROW <= x <= c + ROW and b - ROW <= y <= d + ROW), None)) for k, x, y, t in pdf_runs(body)]
+
+
+@_declared
+def pdf_images(body: bytes) -> list[tuple[int, str, int, int, str, bytes]]:
+    """(page, name, width, height, kind, data) of the images a page names: JPEG and JPEG 2000 files as they are, others as raw
+    samples."""
+    pdf, out = Pdf(body), []
+    for k, page in enumerate(pdf.pages()):
+        named = pdf.get((pdf.get(page.get("Resources")) or {}).get("XObject")) or {}
+        for name, ref in named.items():
+            o = pdf.get(ref)
+            if isinstance(o, dict) and o.get("Subtype") == "Image" and "__at" in o:
+                filters = pdf.get(o.get("Filter")) or []
+                last = str(pdf.get(filters[-1]) if isinstance(filters, list) and filters else filters)
+                kind = {"DCTDecode": "image/jpeg", "JPXDecode": "image/jp2"}.get(last, "raw")
+                out.append((k, str(name), int(pdf.get(o.get("Width")) or 0), int(pdf.get(o.get("Height")) or 0), kind, pdf.stream(o, decode=kind == "raw")))
+    return out
+
+
+def _table(files: DataFrame, id_col: str, read, columns: str) -> DataFrame:
+    """The rows that read makes of each body, or one with an error."""
     source = files.select(id_col, "body")
+    names = [c.split(" ")[0] for c in columns.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, body in b.itertuples(index=False, name=None):
                 try:
-                    out += [(key, *r, None) for r in pdf_runs(bytes(body or b""))]
+                    out += [(key, *r, None) for r in read(bytes(body or b""))]
                 except PdfError as e:
-                    out.append((key, None, None, None, None, str(e)))
-            frame = pd.DataFrame(out, columns=[id_col, "page_no", "x", "y", "text", "error"])
-            frame["page_no"] = frame["page_no"].astype("Int32")
+                    out.append((key, *[None] * len(names), str(e)))
+            frame = pd.DataFrame(out, columns=[id_col, *names, "error"])
+            for c in columns.split(", "):
+                if c.endswith(" int"):
+                    frame[c.split(" ")[0]] = frame[c.split(" ")[0]].astype("Int32")
             yield frame
 
-    return source.mapInPandas(rows, f"`{id_col}` {source.schema[0].dataType.simpleString()}, page_no int, x double, y double, text string, error string")
+    return source.mapInPandas(rows, f"`{id_col}` {source.schema[0].dataType.simpleString()}, {columns}, error string")
+
+
+def link_table(files: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """id, page_no, left, bottom, right, top, href, error of PDF bodies."""
+    return _table(files, id_col, pdf_links, "page_no int, left double, bottom double, right double, top double, href string")
+
+
+def image_table(files: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """id, page_no, name, width, height, kind, data, error of PDF bodies."""
+    return _table(files, id_col, pdf_images, "page_no int, name string, width int, height int, kind string, data binary")
+
+
+def run_table(files: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """id, page_no, x, y, text, href, error of PDF bodies."""
+    return _table(files, id_col, linked_runs, "page_no int, x double, y double, text string, href string")

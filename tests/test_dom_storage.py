@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import dom, storage
+from pageloom.sources import fetch
 from pageloom.sources.fetch import from_files, intercept, page_errors
 from pageloom.sources.pages import parse_pages
 
@@ -32,7 +33,7 @@ def test_dom(spark):
     assert got == {("childList", "b", None, "element", None), ("childList", None, None, "text", None), ("characterData", None, None, "x", "q"), ("attributes", "div", "id", "a", "c"), ("attributes", "div", "data-foo-bar", "1", None)}
 
 
-def test_fetch(spark, tmp_path):
+def test_fetch(spark, tmp_path, monkeypatch):
     rows = [("u1", 200, "text/html", b"x"), ("u2", 404, None, b"x"), ("u3", 200, None, b"\xef\xbb\xbf <p>"), ("u4", 200, "image/png", b"\x89"), ("u5", 200, "text/html", None)]
     df = spark.createDataFrame([(a, b, c, bytearray(d) if d is not None else None) for a, b, c, d in rows], "url string, status int, content_type string, body binary")
     assert {r.url: r.error for r in page_errors(df).collect()} == {"u1": None, "u2": "HTTP 404", "u3": None, "u4": "not HTML", "u5": "empty response"}
@@ -40,3 +41,7 @@ def test_fetch(spark, tmp_path):
     assert mocked["u2"] == 201 and len(mocked) == 5
     (tmp_path / "a.html").write_bytes(b"<p>")
     assert [bytes(r.body) for r in from_files(spark, str(tmp_path)).collect()] == [b"<p>"]
+    (tmp_path / "b.html").write_bytes(b"<p>" * 10)
+    monkeypatch.setattr(fetch, "MAX_BODY", 5)
+    got = {r.url[-6:]: (r.status, r.body and bytes(r.body), r.error) for r in page_errors(from_files(spark, str(tmp_path), "text/html")).collect()}
+    assert got == {"a.html": (200, b"<p>", None), "b.html": (413, None, "HTTP 413")}

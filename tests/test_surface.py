@@ -104,3 +104,23 @@ def test_search_options():
     with pytest.raises(ValueError, match="no such option"):
         search.options(depth=1)
     assert js.NAN != js.NAN
+
+
+def test_sinks(spark, tmp_path, capsys):
+    from pageloom.operators import sinks
+
+    rows = spark.createDataFrame([("d", "s", 1, "a", "1"), ("d", "t/2", 2, "b", None), ("e", "s", 3, "c", "é")], storage.SCHEMA)
+    sinks.write_nowhere(rows)
+    sinks.write_console(rows.orderBy("seq"), 1)
+    assert capsys.readouterr().out.strip() == '{"db":"d","store":"s","seq":1,"key":"a","value":"1"}'
+    sinks.save_store(rows, str(tmp_path / "store"))
+    assert sorted(sinks.load_store(spark, str(tmp_path / "store")).collect()) == sorted(rows.collect())
+    seen, ends = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    sinks.for_each_record(rows.repartition(2), lambda r: seen.add(r.seq), end=lambda: ends.add(1))
+    assert seen.value == 6 and ends.value == 2
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("a long").json(str(tmp_path / "in"))
+    (tmp_path / "in" / "x.json").write_text('{"a": 5}\n')
+    got = []
+    sinks.stream_to(stream, lambda batch, n: got.extend((n, r.a) for r in batch.collect()), str(tmp_path / "check")).awaitTermination(60)
+    assert got == [(0, 5)]
