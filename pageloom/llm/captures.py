@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import tables_dir, small, written
+from pageloom.llm.shared import met_left, tables_dir, written
 
 #: Records and bytes (before compression) to an archive at most, and index rows to a merged range.
 ARCHIVE_RECORDS, ARCHIVE_BYTES, RANGE_ROWS = 1000, 1 << 30, 100_000
@@ -60,8 +60,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """record: the text of one WARC record without its closing blank lines, for each page."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload"))
-    same = rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).where("low < top").select("digest", "top")
-    rows = rows.join(small(written(same, "payloads")), "digest", "left")
+    same = rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"), F.count("*").alias("copies")).where("low < top").select("digest", "top", "copies")
+    rows = met_left(rows, written(same, "payloads"), "digest", "copies")
     revisit = F.col("top").isNotNull() & (F.col("page_id") < F.col("top")) & (F.col("bytes") >= least)
     revisit = F.coalesce(revisit, F.lit(False))
     end = F.lit("\r\n")

@@ -26,7 +26,7 @@ def op1_line_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_poisson_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_t(spark, d, "documents")).selectExpr("doc_id", "source", "__copy as copy_no", "__copies as copies", "__order as order_key")
+    return mixing.mix(_t(spark, d, "documents")).selectExpr("doc_id", "source", "text", "__copy as copy_no", "__copies as copies", "__order as order_key")
 
 
 def op3_license_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -72,12 +72,12 @@ def oracle_sql() -> dict[str, str]:
 with sizes as (select source as s, count(*) as n, pow(count(*)::double, 0.7) as w from documents group by 1),
 total as (select sum(n) as tn, sum(w) as tw from sizes),
 rated as (select s, least(16.0, round((tn / tw) * w / n, 9)) as rate from sizes, total),
-drawn as (select doc_id, source, rate, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint::double / 4503599627370496.0 as u,
+drawn as (select doc_id, source, text, rate, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint::double / 4503599627370496.0 as u,
   coalesce(doc_id::varchar, md5(coalesce(text, ''))) as key
   from documents join rated on source is not distinct from s),
 steps as (select s, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1.0) as p from rated, range(0, 65) t(k)),
 cum as (select s, k, sum(p) over (partition by s order by k) as c from steps),
-counted as (select doc_id, source, key, (select count(*) from cum where s is not distinct from source and c <= u and k < 64) as copies from drawn)
-select doc_id, source, copy_no::int as copy_no, copies::int as copies, md5('mix-1/order:' || key || ':' || copy_no) as order_key
+counted as (select doc_id, source, text, key, (select count(*) from cum where s is not distinct from source and c <= u and k < 64) as copies from drawn)
+select doc_id, source, text, copy_no::int as copy_no, copies::int as copies, md5('mix-1/order:' || key || ':' || copy_no) as order_key
 from counted, lateral (select unnest(range(1, copies + 1)) as copy_no) where copies > 0""",
     }

@@ -66,6 +66,22 @@ def met(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
     return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(table.where(~hot), key))
 
 
+def met_left(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows left joined with a written table of one row for each text key, whose column `count` (left out of the result)
+    says how many rows have the key; keys of many rows must be in it. A small table is broadcast; of others the keys of
+    many rows are, and the rows that have met them are spread evenly in the second join."""
+    totals = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n"), F.count("*").alias("keys")).first()
+    own = [c for c in table.columns if c not in (key, count)]
+    if totals.keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), key, "left")
+    hot = F.col(count) > max(HOT, totals.n // BROADCAST_ROWS)
+    part = lambda where, mark: table.where(where).select(F.col(key).alias(f"__{mark}"), *(F.col(c).alias(f"__{mark}_{c}") for c in own))
+    one = rows.join(F.broadcast(part(hot, "hot")), F.col(key) == F.col("__hot"), "left")
+    salt = F.concat(key, F.lit("/"), F.pmod(F.xxhash64(*(c for c, k in rows.dtypes if k in ("bigint", "int", "string"))), F.lit(4096)).cast("string"))
+    both = one.join(part(~hot, "rest"), F.when(F.col("__hot").isNull(), F.col(key)).otherwise(salt) == F.col("__rest"), "left")
+    return both.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in own))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """doc_id, text (whole) and y of at most `rows` labelled documents, by the order of a hash of their id.
 

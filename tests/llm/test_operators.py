@@ -680,6 +680,14 @@ def test_captures(spark):
     assert few.where("record_type = 'revisit' and payload_bytes < 9").count() == 0
 
 
+def test_hot_payloads_beyond_a_broadcast(spark, monkeypatch):
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://h/', id) as url", "case when id % 2 = 0 then null else concat('p', id % 40) end as html")
+    want = key(captures.capture_histories(pages).select("page_id", "payload_digest", "record_type", "refers_to").collect())
+    monkeypatch.setattr("pageloom.llm.shared.BROADCAST_ROWS", 3)
+    monkeypatch.setattr("pageloom.llm.shared.HOT", 20)
+    assert key(captures.capture_histories(pages).select("page_id", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
 def test_merge_over_ranges(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(captures, "RANGE_ROWS", 50)
     pages = spark.range(400).selectExpr("id as page_id", "concat('http://h', id % 3, '.org/') as url", "concat('p', id) as html")

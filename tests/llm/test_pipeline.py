@@ -31,3 +31,30 @@ def test_stages_keep_columns_and_decide(spark):
     got = corpus_pipeline.run(spark, SF).toPandas()
     tokens = got[got["start"] == 0]
     assert len(tokens) == mixed.count() and np.isclose(got["length"].sum(), tokens["doc_tokens"].sum())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, __key string, __copy int, copies int"
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing names; and an empty table."""
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(good)]
+    rows += [rows[0], rows[1], rows[1], (rows[2][0], good[3], "de", "s1", 1), (None, good[4], None, None, None), (None, None, None, None, None), (900, "", "en", "s1", 0), (901, None, None, "s2", None), (902, " ".join(good) * 3, "en", None, 5), (903, good[5] + " mail a.b@c.de", "en", "s1", 3)]
+    frame = spark.createDataFrame([(*r, "x", 7, "y", 1, 2) for r in rows], ODD)
+    for name, docs in (("odd", frame), ("none", frame.where("false"))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = docs
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, got = got, stage(spark, got, str(tmp_path / name))
+            got.write.parquet(str(tmp_path / name / str(k)))
+            got = spark.read.parquet(str(tmp_path / name / str(k)))
+            if k < 4:
+                assert got.columns == docs.columns
+            if k == 1:
+                kept = [tuple(r) for r in got.collect()]
+                assert len(kept) == len(set(kept)) and {r[1] for r in kept} <= {r.text for r in before.collect()}
+            if k == 2:
+                assert got.where("text like '%a.b@c.de%'").isEmpty() and got.count() == len(kept)
+        assert (got.count() > 0) == (name == "odd")
