@@ -99,16 +99,6 @@ def css_root_attribute(spark, d):
     return selectors.select_all(_nodes(spark, d), "html:root[lang]").select(F.col("doc_id").alias("page_id"), F.element_at("attr_map", "lang").alias("lang"))
 
 
-@query()
-def articles(spark, d):
-    return skim(_t(spark, d, "pages")).drop("images", "links", "nav_links")
-
-
-@query()
-def article_renderings(spark, d):
-    return skim(_t(spark, d, "pages"), renders=("json", "markdown", "html")).select("page_id", "json", "markdown", "html", "error")
-
-
 @query("select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, regexp_extract(url, '^https?://([^/:?#]+)', 1) as site_name, " + _TITLE + " as title from pages")
 def article_metadata(spark, d):
     return skim(_t(spark, d, "pages")).select("page_id", "lang", "site_name", "title")

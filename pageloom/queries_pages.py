@@ -209,12 +209,47 @@ r as (select page_id, i, origin || '/' || replace(replace(replace(url_encode(sub
 f as (select *, row_number() over (partition by page_id, href order by i) as k from r)"""
 
 
+@query(f"""select page_id, url, {_UNESCAPED.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")} as title, null::varchar as byline, null::varchar as published_at, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, regexp_extract(url, '^https?://([^/:?#]+)', 1) as site_name, null::varchar as description, null::varchar as hero_image,
+len(list_filter(string_split_regex(plain, '\\s+'), lambda x: x <> ''))::int as word_count, plain as plain_text, null::varchar as error from (select *, {_PLAIN} as plain from pages)""")
+def articles(spark, d):
+    return skim(_t(spark, d, "pages")).drop("images", "links", "nav_links", "content_root")
+
+
 @query(_LINKED + " select page_id, (row_number() over (partition by page_id order by i) - 1)::int as pos, href, text from f where k = 1 and text <> ''")
 def article_links(spark, d):
     """The navigation's links: resolved, the first of each address, with their labels."""
     return skim(_t(spark, d, "pages")).select("page_id", F.posexplode("nav_links").alias("pos", "link")).select("page_id", "pos", "link.href", "link.text")
 
 
+_REST = f"regexp_replace(regexp_extract({_ARTICLE}, '</h1>(.*)$', 1, 's'), '</p>|</b>|<[^>]*$', '', 'g')"
+_PARTS = f"list_transform(string_split({_REST}, '<p>')[2:], lambda x: {{'bold': starts_with(x, '<b>'), 'line': contains(x, '<br>'), 'text': {_UNESCAPED.format("replace(replace(x, '<b>', ''), '<br>', '')")}}})"
+_FOOTER = _UNESCAPED.format("regexp_replace(regexp_extract(html, '<footer>(.*?)(</footer>|$)', 1, 's'), '<[^>]*$', '')")
+_AD = _UNESCAPED.format("regexp_extract(html, '<div class=\"ad\">([^<]*)', 1)")
+_SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_MARKED = "trim(regexp_replace(regexp_replace({}, '\\s+', ' ', 'g'), '([\\\\`*_\\[\\]])', '\\\\\\1', 'g'))"
+_RENDERED = f"""with t as (select page_id, url, {_WINS} as wins, {_UNESCAPED.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title, {_UNESCAPED.format(f"regexp_extract({_ARTICLE}, '<h1>(.*?)</h1>', 1)")} as head, {_PARTS} as ps, {_FOOTER} as footer, {_AD} as ad, contains(html, '<footer>') as has_footer from pages)"""
+
+
+_HTML = _RENDERED + f""", a as (select *, '<article><h1>' || {_SAFE.format('head')} || '</h1>' || array_to_string(list_transform(ps, lambda x: '<p>' || case when x.bold then '<b>' else '' end || {_SAFE.format('x.text')} || case when x.line then '<br>' else '' end || case when x.bold then '</b>' else '' end || '</p>'), '') || '</article>' as body from t)
+select page_id, '<h1>' || {_SAFE.format('trim(title)')} || '</h1>' || case when wins then body else '<div>' || {_SAFE.format('ad')} || '</div>' || body || {_SAFE.format('footer')} end as html from a"""
+_MARKDOWN = _LINKED + f""", nav as (select page_id, array_to_string(list('| [' || replace(text, '|', '\\') || '](' || href || ') |' order by i), chr(10)) as rows from f where k = 1 and text <> '' group by 1), {_RENDERED[5:]},
+b as (select *, list_filter(list_transform(ps, lambda x: case when {_MARKED.format('x.text')} = '' then '' when x.bold then '**' || {_MARKED.format('x.text')} || '**' else {_MARKED.format('x.text')} end), lambda x: x <> '') as lines from t)
+select b.page_id, array_to_string(list_filter(list_concat(['# ' || trim(title), 'on _' || regexp_extract(url, '^https?://([^/:?#]+)', 1) || '_ • [source](' || url || ')', case when rows is null then '' else '| Navigation |' || chr(10) || '| --- |' || chr(10) || rows end, case when wins then '' else {_MARKED.format('ad')} end, '# ' || {_MARKED.format('head')}], lines, [case when wins then '' else {_MARKED.format('footer')} end]), lambda x: x <> ''), chr(10) || chr(10)) || chr(10) as markdown from b left join nav on nav.page_id = b.page_id"""
+
+
+@query(f"select m.page_id, markdown, html, null::varchar as error from ({_MARKDOWN}) m join ({_HTML}) h on h.page_id = m.page_id")
+def article_renderings(spark, d):
+    """Title, source, navigation and content as Markdown; allowed elements and escaped text as HTML."""
+    return skim(_t(spark, d, "pages"), renders=("markdown", "html")).select("page_id", "markdown", "html", "error")
+
+
+@query(f"""select page_id, url, {_UNESCAPED.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")} as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, regexp_extract(url, '^https?://([^/:?#]+)', 1) as site, null::varchar as byline, len(list_filter(string_split_regex(plain, '\\s+'), lambda x: x <> ''))::int as words, plain as text, '[]' as images from (select *, {_PLAIN} as plain from pages)""")
+def article_json(spark, d):
+    """The JSON record, read back member by member."""
+    get = lambda path: F.get_json_object("json", path)
+    return skim(_t(spark, d, "pages"), renders=("json",)).select("page_id", get("$.url").alias("url"), get("$.title").alias("title"), get("$.lang").alias("lang"), get("$.siteName").alias("site"), get("$.byline").alias("byline"), get("$.wordCount").cast("int").alias("words"), get("$.plainText").alias("text"), get("$.images").alias("images"))
+
+
 _META = '<meta property="og:title" content=" Card &amp; title "><meta name="Author" content="A. Writer"><meta name="description" content="Told"><meta property="og:image" content="/i/a.png"><meta name="twitter:title" content="other"><meta itemprop="datePublished" content="2024-01-02"><meta property="og:site_name" content="Site"><title>'
 _INSIDE = '<article><img src="/p/1.jpg" alt="one"><p><a href="/in?a=1#f">In</a> <a href="/in?a=1#f">Again</a><a href="#x">no</a><a href="mailto:a@b">no</a></p>'
 
