@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pageloom import queries, queries_functions, queries_pages  # noqa: F401
+from pageloom import queries, queries_documents, queries_functions, queries_pages  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
