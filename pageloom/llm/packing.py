@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pageloom.llm.tokens import ByteBpe
 
 CAPACITY = 1024
-#: Tails are cut into pieces of at most this many ids, so that differencing can balance windows.
-TAIL = 192
+#: Tails are cut into pieces of at most this many ids, so that differencing can balance windows: documents up to it stay whole.
+TAIL = 512
 #: Documents to a bucket, and windows to a block of a bucket.
-BUCKET_DOCS, BLOCK_WINDOWS = 2000, 48
+BUCKET_DOCS, BLOCK_WINDOWS = 2000, 128
 _MODELS: dict[str, ByteBpe] = {}
 
 
