@@ -429,3 +429,39 @@ def text_selection(spark, d):
     """Column functions over another table: the library does not know where its columns come from."""
     p = _t(spark, d, "part").where((F.col("p_size") > 10) & js.includes(F.col("p_brand"), "1"))
     return p.select("p_partkey", js.trim(F.col("p_name")).alias("name"), F.col("p_retailprice").alias("price"), js.strict_equal(F.col("p_retailprice"), F.col("p_retailprice")).alias("same"))
+
+
+# --- the parser ---
+
+
+@query("select page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') as script, regexp_extract(html, '<style>(.*?)</style>', 1, 's') as style, " + _UNESCAPED.format("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')") + " as footer, 1::bigint as n_texts, (" + _PARAGRAPHS + ")::bigint as n_paragraphs, 0::bigint as n_nested from pages where contains(html, '</footer>')")
+def html_texts(spark, d):
+    """Raw text of scripts and styles, character references, merged text, and paragraphs that close one another."""
+    nodes = _nodes(spark, d)
+    text = lambda s, name: selectors.text_content(nodes, selectors.select_all(nodes, s)).select("doc_id", F.col("text").alias(name))
+    footer = selectors.select_all(nodes, "footer")
+    texts = dom.child_nodes(nodes.where("kind = 'text'"), footer).groupBy("doc_id").agg(F.count("*").alias("n_texts"))
+    nested = selectors.select_all(nodes, "p p").groupBy("doc_id").agg(F.count("*").alias("n"))
+    paragraphs = dom.by_tag(nodes, "p").groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"))
+    closed = _t(spark, d, "pages").where(F.col("html").contains("</footer>")).select(F.col("page_id").alias("doc_id"))
+    parts = [closed, text("script", "script"), text("style", "style"), text("footer", "footer"), texts, paragraphs]
+    got = reduce(lambda a, b: a.join(b, "doc_id"), parts).join(nested, "doc_id", "left")
+    return got.select(F.col("doc_id").alias("page_id"), "script", "style", "footer", "n_texts", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_nested"))
+
+
+@query(r"""select page_id, '<nav><ul>' || regexp_extract(html, '<nav><ul>(.*?)</ul></nav>', 1) || '</ul></nav>' as html from pages""")
+def html_serialized(spark, d):
+    """outerHTML of the navigation: what was read, written again."""
+    from pageloom.operators.render import serialize
+    from pageloom.sources.html import parse
+
+    @F.pandas_udf("string")
+    def nav(pages):
+        out = []
+        for h in pages:
+            p = parse(h or "")
+            at = next((k for k in range(len(p.kind)) if p.tag[k] == "nav"), None)
+            out.append(None if at is None else serialize(p, at))
+        return pages.__class__(out, dtype=object)
+
+    return _t(spark, d, "pages").select("page_id", nav("html").alias("html"))
