@@ -3,8 +3,10 @@
 `text_media` stores a text's bytes losslessly as an image, reads the stored bytes back and computes a difference
 hash; `tiles` decodes a column of images and writes their resized tiles.
 
-Defined results: a null text counts as empty and is stored as one block of padding; equal texts give equal values;
-an image that cannot be read gives a row with its error and null tile; an empty table gives an empty table.
+Defined results: a null text counts as empty and is stored as one block of padding; equal texts, so repeated rows, give
+equal values; a text of any length is stored whole; samples that are equally bright give a 0 bit; an image that cannot be
+read gives a row with its error and null tile; an empty table gives an empty table; only the id and text (or image)
+columns are read, so extra columns of any name do not clash.
 """
 
 from __future__ import annotations
@@ -95,41 +97,67 @@ def grey(a: np.ndarray) -> np.ndarray:
     return ((a[:, :, 0].astype(np.uint32) * 299 + a[:, :, 1].astype(np.uint32) * 587 + a[:, :, 2].astype(np.uint32) * 114) // 1000).astype(np.uint8)
 
 
-def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over the source area of each target sample, from integral images of one band of rows at a time."""
+def integral_lines(a: np.ndarray, height: int) -> np.ndarray:
+    """The integral image of a at the height + 1 borders between target rows: sums of all samples above and to the left.
+
+    Only these lines of it are made, from the sums of the bands of rows between them, so its memory does not grow with
+    the height of the image.
+    """
     h, w = a.shape
-    out = np.empty((height, width))
-    xs = np.arange(width + 1) * (w / width)
-    x0 = np.minimum(xs.astype(np.int64), w - 1)
-    for i in range(height):
-        y0, y1 = i * h / height, (i + 1) * h / height
-        top, bottom = int(y0), min(h, int(np.ceil(y1 - 1e-9)))
-        band = a[top:bottom].astype(np.float64)
-        integral = np.zeros((len(band) + 1, w + 1))
-        np.cumsum(np.cumsum(band, 0), 1, out=integral[1:, 1:])
-        ys = np.array([y0 - top, min(y1 - top, len(band))])
-        k = np.minimum(ys.astype(np.int64), len(band) - 1)
-        lines = integral[k] + (integral[k + 1] - integral[k]) * (ys - k)[:, None]
-        at = lines[:, x0] + (lines[:, x0 + 1] - lines[:, x0]) * (xs - x0)
-        out[i] = np.diff(at[1] - at[0]) / ((y1 - y0) * (w / width))
+    ys = np.arange(height + 1) * (h / height)
+    whole = np.minimum(ys.astype(np.int64), h - 1)
+    cuts, at = np.unique(whole, return_inverse=True)
+    above = np.zeros((len(cuts), w), np.int64)
+    np.cumsum(np.add.reduceat(a, cuts, axis=0, dtype=np.int64)[:-1], 0, out=above[1:])
+    out = np.zeros((height + 1, w + 1))
+    np.cumsum(above[at] + a[whole] * (ys - whole)[:, None], 1, out=out[:, 1:])
     return out
 
 
-def difference_hash(a: np.ndarray) -> str:
-    """64 bits: whether a sample of the 8 x 9 image is brighter than its left neighbour."""
-    s = np.round(area_resize(grey(a), 8, 9), 6)
+def area_means(lines: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over the source area of each target sample, from integral lines of an image of that height."""
+    w = lines.shape[1] - 1
+    xs = np.arange(width + 1) * (w / width)
+    left = np.minimum(xs.astype(np.int64), w - 1)
+    corners = lines[:, left] + (lines[:, left + 1] - lines[:, left]) * (xs - left)
+    return np.diff(np.diff(corners, axis=0), axis=1) * ((len(lines) - 1) * width / (height * w))
+
+
+def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_means(integral_lines(a, height), len(a), width)
+
+
+def difference_bits(means: np.ndarray) -> str:
+    """64 bits: whether a sample of the 8 x 9 means is brighter than its left neighbour."""
+    s = np.round(means, 6)
     return np.packbits(s[:, 1:] > s[:, :-1]).tobytes().hex()
 
 
+def difference_hash(a: np.ndarray) -> str:
+    return difference_bits(area_resize(grey(a), 8, 9))
+
+
+def tile_and_hash(a: np.ndarray) -> tuple[bytes, str]:
+    """The TILE x TILE tile as an NPY file, and the difference hash, from one integral image: every second of the tile's
+    lines is one of the hash's."""
+    lines = integral_lines(grey(a), TILE)
+    return tile_file(area_means(lines, len(a), TILE)), difference_bits(area_means(lines[:: TILE // 8], len(a), 9))
+
+
 def npy(a: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.save(out, a, allow_pickle=False)
     return out.getvalue()
 
 
+def tile_file(means: np.ndarray) -> bytes:
+    """Means as 8-bit samples in an NPY file."""
+    return npy(np.clip(np.floor(means + 0.5), 0, 255).astype(np.uint8))
+
+
 def tile_of(a: np.ndarray, size: int = TILE) -> bytes:
     """The image resized to size x size grey samples, as an NPY file."""
-    return npy(np.clip(np.floor(area_resize(grey(a), size, size) + 0.5), 0, 255).astype(np.uint8))
+    return tile_file(area_resize(grey(a), size, size))
 
 
 def store(payload: bytes) -> bytes:
@@ -153,8 +181,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         media = store(raw + b"\xff" * (blocks * BLOCK - len(raw)))
         image = decode(media)
         back = np.ascontiguousarray(image).tobytes()
-        tile = tile_of(image)
-        feature = f"{media[:2].decode()}:{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}:{hashlib.sha256(tile).hexdigest()[:16]}"
+        tile, bits = tile_and_hash(image)
+        feature = f"{media[:2].decode()}:{image.shape[1]}x{image.shape[0]}:{bits}:{hashlib.sha256(tile).hexdigest()[:16]}"
         out = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
         return (*out, media, tile) if keep else out
 
