@@ -11,8 +11,8 @@ is linear in the bucket. Links between different fingerprints go to alternating
 `similar_copies` is the rule by similarity: texts whose sets of shingles have a Jaccard similarity of at least a given
 share. Such pairs differ in about 10 of the 64 bits at 0.8, more than any ring can be laid out for, so candidates come
 from BANDS keys of ROWS minima of the shingles' hashes (a pair at 0.8 is missed with probability 3e-6), and every
-candidate is checked on its exact sets. Under keys of more than BUCKET texts, a few centres are checked against all
-texts of the key; then all texts outside the largest component that a key has, too, so that no link is left out.
+candidate is checked on its exact sets: all texts of a key against one centre, then those that this leaves apart, where
+a sketch of the minima does not already tell them apart (it errs on a pair at the similarity with probability 2e-8).
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero, linked like any other;
 rows with a null id get a component like others but never name it unless all ids are null (then null); repeated
@@ -37,8 +37,8 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints under one key that are compared in pairs, at most; larger keys go by common neighbours.
 BUCKET = 48
-#: Keys of a text for candidates by similarity and minima in each; centres of a crowded key that come first.
-BANDS, ROWS, CENTRES = 32, 5, 8
+#: Keys of a text for candidates by similarity, and minima in each; pairs of one text that go to one task.
+BANDS, ROWS, PAIRS = 32, 5, 1000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -173,7 +173,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", t
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words whose hashes a worker remembers, at most.
-WORDS = 500_000
+WORDS = 100_000
 _words: dict[bytes, int] = {}
 
 
@@ -202,42 +202,59 @@ def shingles(text: str | None, width: int) -> tuple[int, np.ndarray]:
     return key - (1 << 64) * (key >> 63), _mixed(h)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys (signed longs) for each of several lists of shingles, none of them empty."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys and a sketch (signed longs) for each of several lists of shingles, none of them empty. The sketch has
+    four bits of each of the minima, 16 to a long."""
     if not sets:
-        return np.empty((0, BANDS), np.int64)
+        return np.empty((0, BANDS), np.int64), np.empty((0, BANDS * ROWS // 16), np.int64)
     every, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     least = np.stack([np.minimum.reduceat(every * a, starts) for a in _ODD], 1).reshape(len(sets), BANDS, ROWS)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS))
     for k in range(ROWS):
         keys = _mixed((keys + least[:, :, k]) * _MIX[0])
-    return keys.view(np.int64)
+    nibbles = (_mixed(least.reshape(len(sets), -1, 16)) & np.uint64(15)) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return keys.view(np.int64), np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
+
+
+def unlike(a: str, b: str) -> Column:
+    """How many nibbles of two sketches differ."""
+    total = F.lit(0)
+    for k in range(BANDS * ROWS // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x3333333333333333))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_unlike(similarity: float) -> int:
+    """The nibbles that may differ: 5.5 deviations more than are to be expected at the similarity."""
+    n, p = BANDS * ROWS, (1 - similarity) * 15 / 16
+    return int(n * p + 5.5 * (n * p * (1 - p)) ** 0.5)
 
 
 def _parts(b: pa.RecordBatch, text_col: str, width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """The rows of a batch with their shingles, in parts of about a million shingles."""
+    """The rows of a batch with their shingles, in parts of a bounded number of shingles (or of one text)."""
     at, got, size = 0, [], 0
     for k, t in enumerate(b.column(text_col)):
         got.append(shingles(t.as_py(), width))
         size += len(got[-1][1])
-        if size > 1_000_000 or k == b.num_rows - 1:
+        if size > 200_000 or k == b.num_rows - 1:
             yield b.slice(at, len(got)), got
             at, got, size = k + 1, [], 0
 
 
 def _signed(docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """The columns beside the text, key and h, the band keys (none without a word)."""
+    """The columns beside the text, key and h, the band keys, and s, the sketch (both empty without a word)."""
     names, types = _passed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, got in _parts(b, text_col, width):
-                keys = band_keys([h for _, h in got if len(h)])
-                ends = np.cumsum([0, *(BANDS * (len(h) > 0) for _, h in got)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([k for k, _ in got], pa.int64()), lists], [*names, "key", "h"])
+                there = np.cumsum([0, *(len(h) > 0 for _, h in got)])
+                lists = [pa.ListArray.from_arrays(pa.array(there * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in signatures([h for _, h in got if len(h)])]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([k for k, _ in got], pa.int64()), *lists], [*names, "key", "h", "s"])
 
-    return docs.mapInArrow(run, f"{types}, key long, h array<long>")
+    return docs.mapInArrow(run, f"{types}, key long, h array<long>, s array<long>")
 
 
 def _sets(docs: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -253,45 +270,54 @@ def _sets(docs: DataFrame, width: int, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "key long, h array<long>")
 
 
-def _similar(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (key, h) in left and right have at least the similarity."""
-    both = pairs.join(right.toDF("b", "hb"), "b").join(left.toDF("a", "ha"), "a")
-    # a smaller set of under the similarity's share of the larger cannot reach it
-    fits = F.least(F.size("ha"), F.size("hb")) / F.greatest(F.size("ha"), F.size("hb")) >= similarity
+def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and j, the similarity of their sets (key, h). An a of many pairs is dealt out to several tasks."""
+    share = F.ceil(F.col("count") / PAIRS).cast("int")
+    own = pairs.groupBy("a").count().join(sets.toDF("a", "ha"), "a").select("a", "ha", share.alias("of"), F.explode(F.sequence(F.lit(0), share - 1)).alias("salt"))
+    dealt = pairs.join(pairs.groupBy("a").count().select("a", share.alias("of")), "a").select("a", "b", F.pmod(F.xxhash64("b"), "of").cast("int").alias("salt"))
+    both = dealt.join(sets.toDF("b", "hb"), "b").join(own.drop("of"), ["a", "salt"])
     common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(fits).where(common / (F.size("ha") + F.size("hb") - common) >= similarity).select("a", "b")
+    return both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("j"))
 
 
 def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
-    """Links of distinct keys of texts whose sets of shingles have at least the similarity, each in either order: all
-    candidate pairs, or for crowded band keys links that join the same texts."""
-    at = ["band", "part"]
-    distinct = signed.groupBy("key").agg(F.first("h").alias("h"))
-    keys = written(distinct.select("key", F.posexplode("h").alias(*at)), "keys")
-    crowded = small(written(keys.groupBy(*at).count().where(F.col("count") > BUCKET).select(*at), "crowded"))
-    few, many = keys.join(crowded, at, "left_anti"), written(keys.join(crowded, at, "left_semi"), "many")
-    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), at).where("a < b").select("a", "b")
-    pairs = written(pairs.distinct(), "pairs")
-    used = small(written(pairs.select("a").union(pairs.select("b")).union(many.select("key")).distinct().toDF("key"), "used"), 500_000)
+    """a, b: links of distinct keys of texts whose sets of shingles have at least the similarity, such that the same texts
+    are joined as by all candidates' links.
+
+    Under each band key all texts are first compared with one centre, the same for as many keys as can be; the rows made
+    grow with the table, whatever the sizes of groups. Where that leaves several components under a key, the texts
+    outside the largest one are compared with those of other components, unless their similarities to the centre
+    differ by too much (1 less the similarity is a metric) or their sketches do. The join sees to all this itself; what it
+    looks at under such a key still grows with the square of the texts that are near one another but not near enough.
+    """
+    distinct = written(signed.groupBy("key").agg(F.first("h").alias("h"), F.first("s").alias("s")), "distinct")
+    keys = written(distinct.select("key", F.explode("h").alias("part")), "keys")
+    heads = written(keys.groupBy("part").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key")).alias("a")).where("n > 1"), "heads")
+    members = written(met(keys, heads, "part", "n").select("part", "key", "a", "n"), "members")
+    used = small(written(members.select("key").distinct(), "used"), 500_000)
     sets = _sets(docs, width, text_col).join(used, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h"))
     sets = written(sets, "sets")
-    found = written(_similar(pairs, sets, sets, similarity), "similar")
-    if many.isEmpty():
-        return found
-
-    def around(centres: DataFrame) -> DataFrame:
-        own = written(sets.join(centres.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "centres")
-        near = many.withColumnRenamed("key", "b").join(small(centres), at).where("a <> b").select("a", "b").distinct()
-        return written(_similar(near, small(own, 2000), sets, similarity), "similar")
-
-    some = many.groupBy(*at).agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(CENTRES)))).alias("c"))
-    found = written(found.union(around(written(some.select(*at, F.explode("c").alias("a")), "some"))), "found")
-    # pairs in two components have one text outside a key's largest component: those are centres, too
-    tied = components(_ordered(found)).withColumnRenamed("node", "key")
-    rooted = written(many.join(tied, "key", "left").select(*at, "key", F.coalesce("root", "key").alias("root")), "near")
-    top = rooted.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", F.struct("count", "root")).alias("top"))
-    rest = rooted.join(small(written(top, "top")), at).where("root <> top").select(*at, F.col("key").alias("a"))
-    return found.union(around(written(rest, "rest")))
+    star = written(members.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "star")
+    told = written(_jaccard(star, sets), "told")
+    links = told.where(F.col("j") >= similarity).select("a", "b")
+    tied = written(components(_ordered(links)).withColumnRenamed("node", "key"), "tied")
+    rooted = written(members.join(tied, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    apart = written(rooted.groupBy("part").agg(F.first("n").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "m"), "apart")
+    if apart.isEmpty():
+        return links
+    near = met(rooted, apart, "part", "m").join(told.select("a", F.col("b").alias("key"), "j"), ["a", "key"], "left")
+    near = written(near.select("part", "key", "root", "m", F.coalesce("j", F.lit(1.0)).alias("j")), "near")
+    top = near.groupBy("part", "root").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("part").agg(F.first("m").alias("m"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    step = 1 - similarity
+    near = met(near.drop("m"), written(top, "top"), "part", "m").withColumn("slot", F.floor(F.col("j") / step))
+    near = written(near.join(distinct.select("key", "s"), "key").join(sets, "key"), "slots")
+    rest = near.where("root <> top").select("part", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("j").alias("ja"), F.col("s").alias("sa"), F.col("h").alias("ha"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    other = (F.col("ra") != F.col("root")) & (F.abs(F.col("ja") - F.col("j")) <= step + 1e-9) & ((F.col("root") == F.col("top")) | (F.col("a") < F.col("key"))) & (unlike("s", "sa") <= most_unlike(similarity))
+    # the exact sets are the join's last condition, so that it makes links only, not one row for each pair it looks at
+    common = F.size(F.array_intersect("h", "ha"))
+    exact = common / (F.size("h") + F.size("ha") - common) >= similarity
+    more = near.join(rest, ["part", "slot"]).where(other & exact).select("a", F.col("key").alias("b")).distinct()
+    return links.unionByName(more)
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -301,7 +327,7 @@ def _ordered(edges: DataFrame) -> DataFrame:
 def _alike(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     signed = written(_signed(docs, width, text_col), "signatures")
     tied = components(_ordered(similar_links(docs, signed, width, similarity, text_col)))
-    return signed.drop("h"), _groups(signed, "key", id_col, tied)
+    return signed.drop("h", "s"), _groups(signed, "key", id_col, tied)
 
 
 def similar_copies(docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
