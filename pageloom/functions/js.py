@@ -217,7 +217,8 @@ def decode_uri_component(s: Column) -> Column:
 
 
 def btoa(s: Column) -> Column:
-    return F.base64(F.encode(s, "ISO-8859-1"))
+    """In one line, whatever its length; base64 breaks it after 76 characters."""
+    return F.replace(F.base64(F.encode(s, "ISO-8859-1")), F.lit("\r\n"), F.lit(""))
 
 
 def atob(s: Column) -> Column:

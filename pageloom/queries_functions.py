@@ -45,9 +45,10 @@ for _c in ";/?:@&=+$,#":
 sha1(html) as sha1, sha256(html) as sha256, base64(encode(url)) as b64, url as unb64, 36::int as uuid_length from pages""")
 def js_uri_and_bytes(spark, d):
     u, h = F.col("url"), F.col("html")
+    units = F.decode(F.encode(u, "UTF-8"), "ISO-8859-1")  # a unit for each byte, as btoa takes them
     return _t(spark, d, "pages").select(
         "page_id", js.encode_uri_component(u).alias("component"), strings.encode_uri(F.concat(u, F.lit(" é#x"))).alias("uri"), strings.decode_uri(strings.encode_uri(u)).alias("back"), F.md5(js.encode_uri_component(h)).alias("html_component"), F.size(strings.text_encode(h)).alias("n_bytes"),
-        F.md5(strings.text_decode(F.encode(h, "UTF-8"))).alias("decoded"), strings.digest(h, "SHA-1").alias("sha1"), strings.digest(h, "SHA-256").alias("sha256"), js.btoa(u).alias("b64"), js.atob(js.btoa(u)).alias("unb64"), F.length(strings.random_uuid()).alias("uuid_length"),
+        F.md5(strings.text_decode(F.encode(h, "UTF-8"))).alias("decoded"), strings.digest(h, "SHA-1").alias("sha1"), strings.digest(h, "SHA-256").alias("sha256"), js.btoa(units).alias("b64"), strings.text_decode(F.encode(js.atob(js.btoa(units)), "ISO-8859-1")).alias("unb64"), F.length(strings.random_uuid()).alias("uuid_length"),
     )
 
 

@@ -1,6 +1,10 @@
+import base64
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pageloom.functions import js, urls
 
 
@@ -25,6 +29,22 @@ def test_strings(spark):
         assert value(spark, column, text) == want, column
 
 
+def test_base64_in_one_line(spark):
+    text = "x" * 58 + "é"
+    coded = base64.b64encode(text.encode("latin-1")).decode()
+    assert value(spark, js.btoa(F.col("s")), text) == coded and value(spark, js.atob(F.col("s")), coded) == text
+
+
+def test_uri_and_bytes_of_odd_addresses(spark, tmp_path):
+    """Long, empty, missing and non-Latin addresses against the SQL."""
+    rows = [(k, u, u) for k, u in enumerate(["https://a.org/" + "p/" * 60, "", None, "https://a.org/é?q=ß", "https://日本.org/😀", "http://a/%2F%20~*!'()+ x"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, entry.QUERIES["js_uri_and_bytes"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"create view pages as from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(db.execute(entry.ORACLES["js_uri_and_bytes"]).fetchall())
+
+
 def test_numbers(spark):
     d = lambda x: F.lit(float(x))
     inf = float("inf")
