@@ -11,8 +11,9 @@ is linear in the bucket. Links between different fingerprints go to alternating
 `similar_copies` is the rule by similarity: texts whose sets of shingles have a Jaccard similarity of at least a given
 share. Such pairs differ in about 10 of the 64 bits at 0.8, more than any ring can be laid out for, so candidates come
 from BANDS keys of ROWS minima of the shingles' hashes (a pair at 0.8 is missed with probability 3e-6), and every
-candidate is checked on its exact sets: all texts of a key against one centre, then those that this leaves apart, where
-a sketch of the minima does not already tell them apart (it errs on a pair at the similarity with probability 2e-8).
+candidate is checked on its exact sets: all texts of a key against one centre, then those that this leaves apart, each
+pair under the first key it shares, where a sketch of the minima does not already tell them apart (it errs on a pair at
+the similarity with probability 2e-8).
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero, linked like any other;
 rows with a null id get a component like others but never name it unless all ids are null (then null); repeated
@@ -287,8 +288,10 @@ def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: fl
     Under each band key all texts are first compared with one centre, the same for as many keys as can be; the rows made
     grow with the table, whatever the sizes of groups. Where that leaves several components under a key, the texts
     outside the largest one are compared with those of other components, unless their similarities to the centre
-    differ by too much (1 less the similarity is a metric) or their sketches do. The join sees to all this itself; what it
-    looks at under such a key still grows with the square of the texts that are near one another but not near enough.
+    differ by too much (1 less the similarity is a metric) or their sketches do, or they share a smaller key, under which
+    they meet as well. The join sees to all this itself, so it makes only links that the centres have missed, each once;
+    what it looks at under such a key still grows with the square of the texts that are near one another but not near
+    enough.
     """
     distinct = written(signed.groupBy("key").agg(F.first("h").alias("h"), F.first("s").alias("s")), "distinct")
     keys = written(distinct.select("key", F.explode("h").alias("part")), "keys")
@@ -310,13 +313,14 @@ def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: fl
     top = near.groupBy("part", "root").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("part").agg(F.first("m").alias("m"), F.max_by("root", F.struct("c", "root")).alias("top"))
     step = 1 - similarity
     near = met(near.drop("m"), written(top, "top"), "part", "m").withColumn("slot", F.floor(F.col("j") / step))
-    near = written(near.join(distinct.select("key", "s"), "key").join(sets, "key"), "slots")
-    rest = near.where("root <> top").select("part", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("j").alias("ja"), F.col("s").alias("sa"), F.col("h").alias("ha"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    near = written(near.join(distinct.select("key", "s", F.col("h").alias("keys")), "key").join(sets, "key"), "slots")
+    rest = near.where("root <> top").select("part", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("j").alias("ja"), F.col("s").alias("sa"), F.col("keys").alias("keysa"), F.col("h").alias("ha"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
     other = (F.col("ra") != F.col("root")) & (F.abs(F.col("ja") - F.col("j")) <= step + 1e-9) & ((F.col("root") == F.col("top")) | (F.col("a") < F.col("key"))) & (unlike("s", "sa") <= most_unlike(similarity))
+    first = F.array_min(F.array_intersect("keys", "keysa")) == F.col("part")
     # the exact sets are the join's last condition, so that it makes links only, not one row for each pair it looks at
     common = F.size(F.array_intersect("h", "ha"))
     exact = common / (F.size("h") + F.size("ha") - common) >= similarity
-    more = near.join(rest, ["part", "slot"]).where(other & exact).select("a", F.col("key").alias("b")).distinct()
+    more = near.join(rest, ["part", "slot"]).where(other & first & exact).select("a", F.col("key").alias("b"))
     return links.unionByName(more)
 
 

@@ -591,6 +591,51 @@ def test_copies_by_similarity(spark, none, monkeypatch):
     assert near_copies.similar_copies(none, 5, 0.8).count() == 0
 
 
+def five_word_similarity(texts):
+    of = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in (t.split() for t in texts)]
+    return lambda a, b: len(of[a] & of[b]) / len(of[a] | of[b])
+
+
+def rows_of_joins(plan, key):
+    """Rows that the joins by `key` made, in the plan that ran."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        kids = [plan.executedPlan()]
+    elif "QueryStage" in name:
+        kids = [plan.plan()]
+    else:
+        kids = [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name and key in plan.leftKeys().toString() else 0
+    return own + sum(rows_of_joins(x, key) for x in kids)
+
+
+def near_group(rng, n):
+    """Texts near one another, many of them not near enough."""
+    for _ in range(n):
+        words = [f"w{k}" for k in range(150)]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(150)] = f"e{rng.randrange(50000)}"
+        yield " ".join(words)
+
+
+def test_similar_links_meet_once(spark):
+    """In a group of texts near one another the join makes links only, and each under one of the keys that it shares."""
+    texts = sorted(set(near_group(random.Random(9), 300)))
+    like, root = five_word_similarity(texts), list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if like(a, b) >= 0.8:
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_copies.written(near_copies._signed(df, 5, "text"), "signed")
+    found = near_copies.similar_links(df, signed, 5, 0.8, "text")
+    keys = dict(signed.rdd.map(lambda r: (r.key, r.doc_id)).collect())
+    pairs = [(keys[r.a], keys[r.b]) for r in found.collect()]
+    assert all(like(a, b) >= 0.8 for a, b in pairs)
+    assert 0 < rows_of_joins(found._jdf.queryExecution().executedPlan(), "slot") <= len(texts)
+    got = {r.doc_id: r.component_id for r in near_copies.similar_copies(df, 5, 0.8).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
 def test_links_of_crowded_and_other_keys(spark, monkeypatch):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(60)}
