@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 or more."""
-    return near_copies.one_of_each(docs, width=5, similarity=0.8)
+    """One document of each group of near copies: SimHash fingerprints of three words that the pigeonring links (2 bits, as
+    in op7), and what those leave apart of texts whose five-word sets have a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, width=5, similarity=0.8, ring=near_copies.SHINGLE)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

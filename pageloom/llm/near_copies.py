@@ -13,7 +13,8 @@ share. Such pairs differ in about 10 of the 64 bits at 0.8, more than any ring c
 from BANDS keys of ROWS minima of the shingles' hashes (a pair at 0.8 is missed with probability 3e-6), and every
 candidate is checked on its exact sets: all texts of a key against one centre, then those that this leaves apart, each
 pair under the first key it shares, where a sketch of the minima does not already tell them apart (it errs on a pair at
-the similarity with probability 2e-8).
+the similarity with probability 2e-8). With `ring`, texts whose fingerprints of that width link are joined before, by the
+pigeonring, so that only what the fingerprints leave apart is to be compared.
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero, linked like any other;
 rows with a null id get a component like others but never name it unless all ids are null (then null); repeated
@@ -244,8 +245,9 @@ def _parts(b: pa.RecordBatch, text_col: str, width: int) -> Iterator[tuple[pa.Re
             at, got, size = k + 1, [], 0
 
 
-def _signed(docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """The columns beside the text, key and h, the band keys, and s, the sketch (both empty without a word)."""
+def _signed(docs: DataFrame, width: int, text_col: str, ring: int | None = None) -> DataFrame:
+    """The columns beside the text, key and h, the band keys, and s, the sketch (both empty without a word); with `ring`
+    also fp, the fingerprint of that width."""
     names, types = _passed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +255,12 @@ def _signed(docs: DataFrame, width: int, text_col: str) -> DataFrame:
             for part, got in _parts(b, text_col, width):
                 there = np.cumsum([0, *(len(h) > 0 for _, h in got)])
                 lists = [pa.ListArray.from_arrays(pa.array(there * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in signatures([h for _, h in got if len(h)])]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([k for k, _ in got], pa.int64()), *lists], [*names, "key", "h", "s"])
+                own = [*(part.column(n) for n in names), pa.array([k for k, _ in got], pa.int64()), *lists]
+                if ring:
+                    own.append(pa.array(np.array([fingerprint(t.as_py(), ring) for t in part.column(text_col)], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(own, [*names, "key", "h", "s", *["fp"] * bool(ring)])
 
-    return docs.mapInArrow(run, f"{types}, key long, h array<long>, s array<long>")
+    return docs.mapInArrow(run, f"{types}, key long, h array<long>, s array<long>" + ", fp long" * bool(ring))
 
 
 def _sets(docs: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -281,9 +286,20 @@ def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("j"))
 
 
-def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
+def ring_links(signed: DataFrame) -> DataFrame:
+    """a, b: for the keys of each component of fingerprints (key, fp), a star of links around the smallest."""
+    each = written(signed.select("key", "fp").distinct(), "each")
+    fps = written(each.groupBy("fp").agg(F.count("*").alias("n")), "distinct")
+    tied = written(components(links(fps.select("fp"))).withColumnRenamed("node", "fp"), "tied")
+    fps = written(fps.join(small(tied), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    each = written(met(each, fps, "fp", "n").select("key", "root"), "each")
+    least = written(each.groupBy("root").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1"), "least")
+    return written(met(each, least, "root", "n").where("a < key").select("a", F.col("key").alias("b")), "ring")
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: float, text_col: str, known: DataFrame | None = None) -> DataFrame:
     """a, b: links of distinct keys of texts whose sets of shingles have at least the similarity, such that the same texts
-    are joined as by all candidates' links.
+    are joined as by all candidates' links; with them those `known` before.
 
     Under each band key all texts are first compared with one centre, the same for as many keys as can be; the rows made
     grow with the table, whatever the sizes of groups. Where that leaves several components under a key, the texts
@@ -303,6 +319,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, width: int, similarity: fl
     star = written(members.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "star")
     told = written(_jaccard(star, sets), "told")
     links = told.where(F.col("j") >= similarity).select("a", "b")
+    links = links if known is None else links.unionByName(known)
     tied = written(components(_ordered(links)).withColumnRenamed("node", "key"), "tied")
     rooted = written(members.join(tied, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     apart = written(rooted.groupBy("part").agg(F.first("n").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "m"), "apart")
@@ -328,15 +345,17 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alike(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    signed = written(_signed(docs, width, text_col), "signatures")
-    tied = components(_ordered(similar_links(docs, signed, width, similarity, text_col)))
-    return signed.drop("h", "s"), _groups(signed, "key", id_col, tied)
+def _alike(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str, ring: int | None = None) -> tuple[DataFrame, DataFrame]:
+    signed = written(_signed(docs, width, text_col, ring), "signatures")
+    known = ring_links(signed) if ring else None
+    tied = components(_ordered(similar_links(docs, signed, width, similarity, text_col, known)))
+    return signed.drop("h", "s", *["fp"] * bool(ring)), _groups(signed, "key", id_col, tied)
 
 
-def similar_copies(docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, component_id (the smallest id reachable over pairs of at least the similarity)."""
-    own, final = _alike(docs.select(id_col, text_col), width, similarity, id_col, text_col)
+def similar_copies(docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", ring: int | None = None) -> DataFrame:
+    """One row per document: id, component_id (the smallest id reachable over pairs of at least the similarity, and with
+    `ring` over pairs whose fingerprints of that width differ in at most DISTANCE bits)."""
+    own, final = _alike(docs.select(id_col, text_col), width, similarity, id_col, text_col, ring)
     return met(own, final.select("key", "n", "component_id"), "key", "n").select(id_col, "component_id")
 
 
@@ -346,15 +365,15 @@ def _hashes(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(*own).alias("__a"), F.xxhash64(F.lit(1), *own).alias("__b")]
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, ring: int | None = None) -> DataFrame:
     """One row of docs for each component: that with the smallest id (any id before none; ties by a hash of the row). With a
-    similarity the components are those of `similar_copies`, else those of `near_copies`.
+    similarity the components are those of `similar_copies` (with `ring` if given), else those of `near_copies`.
 
     Rows are told apart as a whole: of rows that share an id each stands for its own text, and of rows that are equal in
     every column one stays. An empty table gives an empty table.
     """
     rows = docs.select(id_col, text_col, *_hashes(docs))
-    own, final = _near(rows, width, id_col, text_col) if similarity is None else _alike(rows, width, similarity, id_col, text_col)
+    own, final = _near(rows, width, id_col, text_col) if similarity is None else _alike(rows, width, similarity, id_col, text_col, ring)
     key = "fp" if similarity is None else "key"
     several = met(own, final.where("n > 1 or not alone").select(key, "n", "root"), key, "n").select("root", id_col, "__a", "__b")
     several = written(several, "several")

@@ -596,6 +596,32 @@ def five_word_similarity(texts):
     return lambda a, b: len(of[a] & of[b]) / len(of[a] | of[b])
 
 
+def test_fingerprints_and_similarity_in_one_graph(spark):
+    """With `ring`, a pair is linked by its fingerprints' distance or by its sets' similarity."""
+    rng = random.Random(8)
+    texts = ["red green blue " * 60 + f"tail{k} of it" for k in range(4)]  # equal fingerprints nearly, sets unlike
+    for _ in range(4):  # sets alike, fingerprints often not
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(12):
+            edited = list(words)
+            for _ in range(rng.randint(0, 3)):
+                edited[rng.randrange(120)] = f"e{rng.randrange(5000)}"
+            texts.append(" ".join(edited))
+    like, fps = five_word_similarity(texts), [near_copies.fingerprint(t) for t in texts]
+    root, by = list(range(len(texts))), set()
+    for a, b in combinations(range(len(texts)), 2):
+        how = ((fps[a] ^ fps[b]).bit_count() <= 2, like(a, b) >= 0.8)
+        by.add(how)
+        if any(how):
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert {(True, False), (False, True)} <= by
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.similar_copies(df, 5, 0.8, ring=3).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+    assert {r.doc_id for r in near_copies.one_of_each(df, 5, similarity=0.8, ring=3).collect()} == set(root)
+    assert near_copies.similar_copies(df.where("false"), 5, 0.8, ring=3).count() == 0
+
+
 def rows_of_joins(plan, key):
     """Rows that the joins by `key` made, in the plan that ran."""
     name = plan.nodeName()

@@ -6,7 +6,7 @@ import pytest
 pytest.importorskip("pageloom.llm")
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
-from pageloom.llm import site_quality  # noqa: E402
+from pageloom.llm import near_copies, site_quality  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,16 @@ def test_stages_keep_columns_and_decide(spark):
     assert len(tokens) == mixed.count() and np.isclose(got["length"].sum(), tokens["doc_tokens"].sum())
 
 
+def test_near_dedup_goes_by_fingerprints_too(spark):
+    """Texts within two bits of SimHash are one, however unlike their five-word sets; so are texts of similar sets."""
+    words = [f"w{k}" for k in range(120)]
+    texts = ["red green blue " * 60 + "tail one", "red green blue " * 60 + "tail two", " ".join(words), " ".join([*words[:60], "edited", *words[61:]])]
+    assert (near_copies.fingerprint(texts[0]) ^ near_copies.fingerprint(texts[1])).bit_count() <= 2
+    assert (near_copies.fingerprint(texts[2]) ^ near_copies.fingerprint(texts[3])).bit_count() > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0, 2}
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, __key string, __copy int, copies int"
 
 
